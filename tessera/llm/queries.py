@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import _ivf, nearest_vectors
+from tessera.llm import _ivf, nearest_vectors, similarity_clusters
 from tessera.storage import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity_clusters.mutual_clusters(table(spark, folder, "instance_vectors"), table(spark, folder, "frameinstances"))
+
+
+def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity_clusters.describe_clusters(table(spark, folder, "instance_vectors"), table(spark, folder, "frameinstances"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_vectors.close_neighbour_pairs(table(spark, folder, "instance_vectors"))
 
@@ -19,4 +27,4 @@ def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_vectors.nearest(usable, 5, probes=128, margin=9.0, every=20)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_neighbours)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_neighbours)}
