@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import _ivf, nearest_vectors, similarity_clusters
+from tessera.llm import _ivf, nearest_vectors, similarity_clusters, term_frequency, topn_groups
 from tessera.storage import table
 
 
@@ -17,6 +17,12 @@ def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return similarity_clusters.describe_clusters(table(spark, folder, "instance_vectors"), table(spark, folder, "frameinstances"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    runs = table(spark, folder, "experiment_scores")
+    best = topn_groups.top_n(runs, "experiment_id", "experiment_run_id", "micro_f1__novelty_frame", 5, version="reported_at")
+    return best.select(F.col("grp").alias("experiment_id"), F.col("item").alias("experiment_run_id"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_vectors.close_neighbour_pairs(table(spark, folder, "instance_vectors"))
 
@@ -27,4 +33,13 @@ def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_vectors.nearest(usable, 5, probes=128, margin=9.0, every=20)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_neighbours)}
+def p4_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every term with its counts and mark."""
+    return term_frequency.marked_terms(table(spark, folder, "frameinstances"), ["frame_label", "lu_lemma"], "global_id")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_terms(spark, folder).where("mark is not null").select("field_name", "term", "mark")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_neighbours, p4_found, p4_terms)}

@@ -1,3 +1,31 @@
 """SQL that gives the same rows as a query of this subpackage, where SQL can."""
 
-SQL: dict[str, str] = {}
+_FOLD = "lower(trim({}, ' ' || chr(9) || chr(160)))"
+
+_P4_TERMS = f"""
+with rows_ as (
+  select 'frame_label' as field_name, {_FOLD.format("frame_label")} as term, global_id from frameinstances
+  union all
+  select 'lu_lemma', {_FOLD.format("lu_lemma")}, global_id from frameinstances
+), counted as (
+  select field_name, term, count(*) as occurrences, count(distinct global_id) as records
+  from rows_ where term is not null and term not in ('', '<unk>') group by field_name, term
+), marked as (
+  select *, case when records <= 2 then 'rare'
+    when records > 0.05 * (select count(distinct global_id) from frameinstances) then 'common' end as mark from counted
+)"""
+
+SQL: dict[str, str] = {
+    "p2_found": """
+        with latest as (
+          select *, row_number() over (partition by experiment_run_id order by reported_at desc) as v from experiment_scores
+        ), ranked as (
+          select experiment_id, experiment_run_id,
+            row_number() over (partition by experiment_id order by micro_f1__novelty_frame desc, experiment_run_id) as n
+          from latest
+          where v = 1 and experiment_id is not null and micro_f1__novelty_frame is not null and not isnan(micro_f1__novelty_frame)
+        )
+        select experiment_id, experiment_run_id from ranked where n <= 5""",
+    "p4_terms": _P4_TERMS + " select field_name, term, occurrences, records, mark from marked",
+    "p4_found": _P4_TERMS + " select field_name, term, mark from marked where mark is not null",
+}
