@@ -2,4 +2,26 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_FOLD = "lower(trim({}, ' ' || chr(9) || chr(160)))"
+_LEMMA, _LABEL = _FOLD.format("lu_lemma"), f"case when {_FOLD.format('frame_label')} not in ('', '<unk>') then {_FOLD.format('frame_label')} end"
+
+_P7 = f"""
+    with results as (
+      select {_LEMMA} as lu_lemma, count(*) as n_rows, count(distinct {_LABEL}) as n_labels, count(distinct global_id) as n_instances,
+        count(*) > 0.025 * (select count(*) from frameinstances) as is_large
+      from frameinstances where lu_lemma is not null group by 1
+    )"""
+
+SQL: dict[str, str] = {
+    "p7_found": _P7 + " select lu_lemma from results where is_large",
+    "p7_lemma_results": _P7 + " select lu_lemma, n_rows, n_labels, n_instances, is_large from results",
+    "p7_label_agreement": f"""
+        with known as (
+          select {_LEMMA} as lu_lemma, {_LABEL} as label from frameinstances where lu_lemma is not null and {_LABEL} is not null
+        ), counts as (
+          select lu_lemma, label, count(*) as c, row_number() over (partition by lu_lemma order by count(*) desc, label) as n
+          from known group by lu_lemma, label
+        )
+        select lu_lemma, max(case when n = 1 then label end) as top_label, max(c) as n_agree, cast(sum(c) as bigint) as n_labelled
+        from counts group by lu_lemma""",
+}

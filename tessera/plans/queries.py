@@ -2,4 +2,33 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.text import fold, fold_term
+from tessera.operators import skew
+from tessera.storage import table
+
+
+def p7_lemma_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, labels and distinct instances of every folded lemma, the large ones named."""
+    rows = table(spark, folder, "frameinstances")
+    got = skew.per_key_results(rows, fold("lu_lemma"), fold_term("frame_label"), F.col("global_id"))
+    return got.select(F.col("key").alias("lu_lemma"), "n_rows", "n_labels", F.col("n_records").alias("n_instances"), "is_large")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_lemma_results(spark, folder).where("is_large").select("lu_lemma")
+
+
+def p7_label_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """For every lemma the rows that carry its most frequent label: instances joined to their lemma's label without skew."""
+    rows = table(spark, folder, "frameinstances").select("id", fold("lu_lemma").alias("lu_lemma"), fold_term("frame_label").alias("label"))
+    known = rows.where("lu_lemma is not null and label is not null")
+    counts = known.groupBy("lu_lemma", "label").count()
+    top = counts.groupBy("lu_lemma").agg(F.min_by("label", F.struct(-F.col("count"), F.col("label"))).alias("top_label"))
+    joined = skew.balanced_join(known, top, "lu_lemma", "id")
+    return joined.groupBy("lu_lemma").agg(F.first("top_label").alias("top_label"), F.count_if(F.col("label") == F.col("top_label")).alias("n_agree"), F.count("*").alias("n_labelled"))
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p7_lemma_results, p7_label_agreement)}
