@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import _ivf, nearest_vectors, similarity_clusters, term_frequency, topn_groups
+from tessera.functions.text import fold
+from tessera.llm import _ivf, group_splits, nearest_vectors, similarity_clusters, term_frequency, topn_groups
 from tessera.storage import table
 
 
@@ -42,4 +43,15 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_terms(spark, folder).where("mark is not null").select("field_name", "term", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_neighbours, p4_found, p4_terms)}
+def p6_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence with its rows, the splits it is in and the one it should be in."""
+    rows = table(spark, folder, "salsa")
+    got = group_splits.assign(rows, fold("global_sentence_id"), fold("data_source"), fold("split"), {"train": 0.7, "dev": 0.1, "test": 0.2})
+    return got.select(F.col("comp").alias("global_sentence_id"), "n_rows", "n_old_splits", "split")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_assignment(spark, folder).where("n_old_splits >= 2").select("global_sentence_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_neighbours, p4_found, p4_terms, p6_found, p6_assignment)}
