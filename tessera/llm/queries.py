@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fold
-from tessera.llm import _ivf, group_splits, nearest_vectors, similarity_clusters, term_frequency, topn_groups
+from tessera.llm import _ivf, group_splits, nearest_vectors, similarity_clusters, split_overlap, term_frequency, topn_groups
 from tessera.storage import table
 
 
@@ -43,6 +43,24 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_terms(spark, folder).where("mark is not null").select("field_name", "term", "mark")
 
 
+def _overlaps(spark: SparkSession, folder: str) -> split_overlap.Overlaps:
+    """Sentences with the split their instances have in the default split of their dataset."""
+    rows = table(spark, folder, "salsa").select(fold("global_sentence_id").alias("id"), "tokenized_sentence", fold("data_source").alias("source"), "instance_id").where("id is not null")
+    splits = table(spark, folder, "split_instances").where("datasetsplit_id = 1").groupBy("instance_id").agg(F.max(fold("split")).alias("split"))
+    one = rows.join(splits, "instance_id", "left")
+    known = one.groupBy("id").agg(F.max("split").alias("split"), F.max("tokenized_sentence").alias("text"), F.collect_set("source").alias("sources"))
+    return split_overlap.Overlaps(known.select("id", "text", "split", F.explode_outer("sources").alias("source")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _overlaps(spark, folder).pairs().select(F.col("id_a").alias("sentence_a"), F.col("id_b").alias("sentence_b"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping sentences of dev and test by split and data source."""
+    return _overlaps(spark, folder).report()
+
+
 def p6_assignment(spark: SparkSession, folder: str) -> DataFrame:
     """Every sentence with its rows, the splits it is in and the one it should be in."""
     rows = table(spark, folder, "salsa")
@@ -54,4 +72,4 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_assignment(spark, folder).where("n_old_splits >= 2").select("global_sentence_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_neighbours, p4_found, p4_terms, p6_found, p6_assignment)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_report, p6_found, p6_assignment)}
