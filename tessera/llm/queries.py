@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fold
-from tessera.llm import _ivf, group_splits, nearest_vectors, similarity_clusters, split_overlap, term_frequency, topn_groups
+from tessera.llm import _ivf, _tokens, group_splits, mixing, nearest_vectors, packing, similarity_clusters, split_overlap, term_frequency, topn_groups
 from tessera.storage import table
 
 
@@ -72,4 +72,32 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_assignment(spark, folder).where("n_old_splits >= 2").select("global_sentence_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_report, p6_found, p6_assignment)}
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_tokens.token_counts(table(spark, folder, "documents")), 2048)
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every text, or of every part of a text above 2,048 tokens."""
+    return _packed(spark, folder).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, folder), 2048)
+
+
+def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
+    texts = _tokens.token_counts(table(spark, folder, "documents"), extra=["source"])
+    return mixing.Mixture(texts, table(spark, folder, "source_targets"))
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each text is used."""
+    return _mixture(spark, folder).copies.withColumnRenamed("id", "doc_id")
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of all tokens that every named source reaches."""
+    return _mixture(spark, folder).report()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_report, p6_found, p6_assignment, p8_containers, p8_fill, p9_mixture, p9_report)}
