@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fold
-from tessera.llm import _ivf, _tokens, group_splits, mixing, nearest_vectors, packing, similarity_clusters, split_overlap, term_frequency, topn_groups
+from tessera.llm import _ivf, _tokens, abuse, group_splits, mixing, nearest_vectors, packing, similarity_clusters, split_overlap, term_frequency, topn_groups
 from tessera.storage import table
 
 
@@ -100,4 +100,17 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).report()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_report, p6_found, p6_assignment, p8_containers, p8_fill, p9_mixture, p9_report)}
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.scores(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_scores(spark, folder).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Abusive documents and their rate by source."""
+    return abuse.rates(p10_scores(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_report, p6_found, p6_assignment, p8_containers, p8_fill, p9_mixture, p9_report, p10_found, p10_scores, p10_rates)}
