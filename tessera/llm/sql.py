@@ -15,7 +15,32 @@ with rows_ as (
     when records > 0.05 * (select count(distinct global_id) from frameinstances) then 'common' end as mark from counted
 )"""
 
+_VECTORS = """
+    v as (
+      select key, min(cast(embedding as double[])) as e from instance_vectors
+      where masking = 'unmasked' and len(embedding) = 64 and list_max(list_transform(embedding, lambda x: abs(x))) > 0 group by key
+    ),
+    n as (select key, e, sqrt(list_dot_product(e, e)) as l from v)"""
+
 SQL: dict[str, str] = {
+    # a set in which all belong together and none to a key outside: all members have the same neighbours, themselves included
+    "p1_found": f"""
+        with {_VECTORS},
+        r as (select n.*, {_FOLD.format("lu_lemma")} as g from n join frameinstances f on f.id = n.key where lu_lemma is not null),
+        pairs as (select a.key as a, b.key as b from r a join r b on a.g = b.g and a.key <> b.key where list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.9),
+        near as (select a, list_sort(list(b) || [a]) as own from pairs group by a),
+        bad as (select distinct p.a from pairs p join near x on x.a = p.a join near y on y.a = p.b where x.own <> y.own)
+        select own[1] as cluster_key, a as instance_key from near where a not in (select a from bad)""",
+    "p3_found": f"""
+        with {_VECTORS},
+        pairs as (select a.key as a, b.key as b, round(list_dot_product(a.e, b.e) / (a.l * b.l), 9) as c from n a join n b on a.key <> b.key where list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.89),
+        best as (select * from pairs qualify row_number() over (partition by a order by c desc, b) <= 5)
+        select distinct least(a, b) as key_a, greatest(a, b) as key_b from best where c >= 0.9""",
+    "p3_neighbours": f"""
+        with {_VECTORS},
+        pairs as (select a.key, b.key as neighbour, round(list_dot_product(a.e, b.e) / (a.l * b.l), 9) as similarity from n a join n b on a.key <> b.key where a.key % 20 = 0)
+        select key, neighbour, round(similarity, 6) as similarity, row_number() over (partition by key order by pairs.similarity desc, neighbour) as rank from pairs
+        qualify row_number() over (partition by key order by pairs.similarity desc, neighbour) <= 5""",
     "p2_found": """
         with latest as (
           select *, row_number() over (partition by experiment_run_id order by reported_at desc) as v from experiment_scores
