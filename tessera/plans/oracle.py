@@ -284,4 +284,10 @@ SQL: dict[str, str] = {
         s as (select count(*) as n, {", ".join(f"cast(sum(cast(cast('0x' || substr(d, {8 * i + 1}, 8) as ubigint) as hugeint)) as varchar) as w{i}" for i in range(4))} from d),
         m as (select n, md5(concat_ws(',', n, w0, w1, w2, w3)) as h from s)
         select n, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12)) as fingerprint from m""",
+    "extracted_vectors": """
+        select id as key, 64 as dims, 1.0 as length from frameinstances
+        where extrainfo.tokens is not null and len(extrainfo.lu_index) > 0""",
+    "masked_sentences": """
+        select id, array_to_string(list_transform(extrainfo.tokens, lambda t, i: case when i - 1 = extrainfo.lu_index[1] then '[MASK]' else coalesce(t, '*') end), ' ') as sentence
+        from frameinstances where extrainfo.tokens is not null and extrainfo.lu_index is not null""",
 }

@@ -9,7 +9,7 @@ from tessera.functions import arrays, vectors
 from tessera.functions.text import UNKNOWN, fold, fold_term
 from tessera.operators import evaluation, fingerprints, leaderboard, similarity, skew, views
 from tessera.plans import experiments, pipeline, tables
-from tessera.sources import corpora, stores
+from tessera.sources import corpora, encoders, stores
 from tessera.storage import table
 
 QUERIES: dict = {}
@@ -299,14 +299,14 @@ def silhouettes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def two_step_clustering(spark: SparkSession, folder: str) -> DataFrame:
+def two_step_clustering(spark: SparkSession, folder: str, config: dict | None = None) -> DataFrame:
     """The two-step clustering of all instances with both vectors, in the default splits of their datasets."""
-    mixed = similarity.mixed_vectors(tables.vectors(spark, folder, "unmasked"), tables.vectors(spark, folder, "masked"), 0.5)
+    config = experiments.with_defaults(config or {"data": {"testsplits": ["dev", "test"]}, "local": {"clusterer": {"type": "cw", "min_weight": 0.5, "random_state": 1}}})
+    mixed = similarity.mixed_vectors(tables.vectors(spark, folder, "unmasked"), tables.vectors(spark, folder, "masked"), config["local"]["alpha"])
     split = table(spark, folder, "split_instances").where("datasetsplit_id <= 3").groupBy(F.col("instance_id").alias("key")).agg(F.min(fold("split")).alias("split"))
     rows = tables.instances(spark, folder).select(F.col("id").alias("key"), fold("lu_lemma").alias("lu_lemma"), F.coalesce("frame_label", F.lit(UNKNOWN)).alias("label"))
     rows = mixed.join(split, "key").join(rows, "key").select(F.col("key").alias("instance_id"), "lu_lemma", "split", "label", "vector")
-    config = experiments.with_defaults({"local": {"clusterer": {"type": "cw", "min_weight": 0.5, "random_state": 1}}, "data": {"mincount": 1}})
-    return pipeline.two_step(rows, config, ["dev", "test"])
+    return pipeline.two_step(rows, config, config["data"]["testsplits"])
 
 
 # -- experiments
@@ -431,3 +431,17 @@ def instances_with_vectors(spark: SparkSession, folder: str) -> DataFrame:
     keys = tables.instances(spark, folder).select(F.col("id").alias("key"), "global_id")
     got = stores.with_vectors(keys, {"unmasked": tables.vectors(spark, folder, "unmasked"), "masked": tables.vectors(spark, folder, "masked")})
     return got.select("key", "global_id", F.when(F.col("unmasked").isNotNull(), F.size("unmasked")).alias("dim_unmasked"), F.when(F.col("masked").isNotNull(), F.size("masked")).alias("dim_masked"))
+
+
+@query
+def extracted_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of the target words of all sentences by the hash encoder, with the target masked; their lengths."""
+    rows = table(spark, folder, "frameinstances").select("id", "extrainfo.tokens", "extrainfo.lu_index", "extrainfo.lu_index_part")
+    got = encoders.extract(rows, encoders.hash_encoder(), masked=True)
+    return got.select("key", vectors.dims("embedding").alias("dims"), F.round(vectors.norm("embedding"), 4).alias("length"))
+
+
+@query
+def masked_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "frameinstances").select("id", "extrainfo.tokens", "extrainfo.lu_index").where("tokens is not null and lu_index is not null")
+    return rows.select("id", F.array_join(encoders.masked_tokens("tokens", "lu_index"), " ", "*").alias("sentence"))
