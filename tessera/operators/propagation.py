@@ -13,7 +13,7 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, max_iter: int = 20, wei
 
     A node with a fixed label keeps it; the others start under their own name. In each round half of the free nodes, chosen by a hash of
     node and round, take the label of most neighbours (``weighted``: of the greatest summed weight), of equal ones their own if it is among
-    them, else the smallest; so two neighbours that would swap labels for ever don't. It ends when two rounds change nothing.
+    them, else a fixed one, else the smallest; so two neighbours that would swap labels for ever don't. It ends when two rounds change nothing.
     A node without edges keeps its own label. Each round is one join of edges with labels and is written to a table.
     """
     state = nodes.select("node", "fixed", F.coalesce(F.col("fixed").cast("string"), F.concat(F.lit("#"), F.col("node").cast("string"))).alias("label"))
@@ -24,7 +24,7 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, max_iter: int = 20, wei
     for turn in range(max_iter):
         votes = both.join(state.select(F.col("node").alias("from"), "label"), "from").groupBy("to", "label").agg(F.round(F.sum("w"), 9).alias("w"))
         own = state.select(F.col("node").alias("to"), F.col("label").alias("own"))
-        best = votes.join(own, "to").groupBy("to", "own").agg(F.max("w").alias("top"), F.max(F.when(F.col("label") == F.col("own"), F.col("w"))).alias("mine"), F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("new"))
+        best = votes.join(own, "to").groupBy("to", "own").agg(F.max("w").alias("top"), F.max(F.when(F.col("label") == F.col("own"), F.col("w"))).alias("mine"), F.min_by("label", F.struct(-F.col("w"), F.col("label").startswith("#"), F.col("label"))).alias("new"))
         moved = best.where(F.col("mine").isNull() | (F.col("mine") < F.col("top"))).where(F.pmod(F.xxhash64(F.lit(seed + turn // 2), "to"), F.lit(2)) == turn % 2).select(F.col("to").alias("node"), "new")
         joined = state.join(moved, "node", "left").select("node", "fixed", F.when(F.col("fixed").isNull(), F.coalesce("new", "label")).otherwise(F.col("label")).alias("label"), (F.col("fixed").isNull() & F.col("new").isNotNull()).alias("changed"))
         new = materialize(joined, "labels")

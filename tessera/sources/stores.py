@@ -11,7 +11,7 @@ def new_rows(incoming: DataFrame, stored: DataFrame, identity: str, order: str)
     rows = incoming.where(F.col(identity).isNotNull())
     others = [c for c in incoming.columns if c != identity]
     one = rows.groupBy(identity).agg(F.min_by(F.struct(*others), order).alias("_r")).select(identity, "_r.*").select(*incoming.columns)
-    return one.join(stored.select(identity), identity, "left_anti")
+    return one.join(stored.select(identity), identity, "left_anti").select(*incoming.columns)
 
 
 def new_links(incoming: DataFrame, stored: DataFrame) -> DataFrame:
