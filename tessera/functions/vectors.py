@@ -25,8 +25,13 @@ def norm(v: Column | str) -> Column:
 
 def l2_normalize(v: Column | str) -> Column:
     """The vector at unit length; the zero vector stays zero."""
-    length = norm(v)
-    return F.transform(_doubles(v), lambda x: F.when(length > 0, x / length).otherwise(x))
+    # the length is bound once by a lambda of its own: inside the inner one it would be computed for every entry
+    bound = F.transform(F.array(F.struct(_doubles(v).alias("v"))), lambda s: _divided(s["v"], norm(s["v"])))
+    return F.get(bound, F.lit(0))
+
+
+def _divided(v: Column, length: Column) -> Column:
+    return F.get(F.transform(F.array(length), lambda by: F.transform(v, lambda x: F.when(by > 0, x / by).otherwise(x))), F.lit(0))
 
 
 def scale(v: Column | str, by: float) -> Column:

@@ -37,6 +37,12 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan that has fewer partitions than the cluster has cores, over all of them; a larger scan is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the input tables, a Parquet file or a folder of them."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
