@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import spread
+
 #: The vocabulary is a file on every machine; its place can be given by environment or parameter.
 VOCABULARY = os.environ.get("TESSERA_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
@@ -28,7 +30,7 @@ def encoder(path: str):
 def token_counts(documents: DataFrame, id_col: str = "doc_id", text: str = "text", extra: list[str] = (), vocabulary: str = VOCABULARY) -> DataFrame:
     """``id, n_tokens, <extra>`` for every text that isn't null or blank; whole texts are counted."""
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("t"), *extra)
-    rows = rows.where("id is not null and t is not null").where(F.col("t").rlike(r"(?U)\S"))
+    rows = spread(rows.where("id is not null and t is not null").where(F.col("t").rlike(r"(?U)\S")))
     kept = [c for c in rows.columns if c != "t"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 

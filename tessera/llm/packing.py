@@ -18,10 +18,26 @@ from tessera.storage import materialize
 
 
 class Complements:
-    """Available lengths, and which one, two or three of them add up to a gap."""
+    """Available lengths, with an index of which sums one, two and three of them can have."""
 
     def __init__(self, counts: np.ndarray):
         self.left = counts.astype("i8").copy()
+        self._index()
+
+    def _index(self) -> None:
+        """Sums of two as a set of bits; it is rebuilt when a length runs out."""
+        self.lengths = np.flatnonzero(self.left)[::-1].tolist()
+        bits = sum(1 << a for a in self.lengths)
+        mask, pairs = (1 << len(self.left)) - 1, 0
+        for a in self.lengths:
+            pairs |= bits << a & mask
+        self.pairs = pairs
+
+    def take(self, used: dict[int, int], times: int) -> None:
+        for a, n in used.items():
+            self.left[a] -= n * times
+        if any(not self.left[a] for a in used):
+            self._index()
 
     def exact(self, gap: int, used: dict[int, int]) -> list[int] | None:
         """Lengths that add up to ``gap``, after those of ``used`` are taken; longer ones are preferred."""
@@ -31,14 +47,17 @@ class Complements:
                 left[length] -= n
         if left[gap] > 0:
             return [gap]
-        if (two := self._pair(left, gap)) is not None:
+        if self.pairs >> gap & 1 and (two := self._pair(left, gap)) is not None:
             return two
-        for a in np.flatnonzero(left[: gap - 1])[::-1]:
-            left[a] -= 1
-            two = self._pair(left, gap - a)
-            left[a] += 1
-            if two is not None:
-                return [int(a), *two]
+        for a in self.lengths:
+            if 3 * a < gap:
+                break  # no three this short reach the gap
+            if a < gap - 1 and left[a] > 0 and self.pairs >> (gap - a) & 1:
+                left[a] -= 1
+                two = self._pair(left, gap - a)
+                left[a] += 1
+                if two is not None:
+                    return [a, *two]
         return None
 
     @staticmethod
@@ -54,10 +73,7 @@ class Complements:
 
     def longest(self, gap: int, used: dict[int, int]) -> int:
         """The longest length that fits and is still available, or 0."""
-        for a in np.flatnonzero(self.left[1 : gap + 1])[::-1] + 1:
-            if self.left[a] > used.get(int(a), 0):
-                return int(a)
-        return 0
+        return next((a for a in self.lengths if a <= gap and self.left[a] > used.get(a, 0)), 0)
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -79,8 +95,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
                 used[length] = used.get(length, 0) + 1
                 gap -= length
         times = int(min(c.left[a] // n for a, n in used.items()))
-        for a, n in used.items():
-            c.left[a] -= n * times
+        c.take(used, times)
         out.append((used, times))
 
 
