@@ -165,3 +165,23 @@ def test_hierarchy_finds_two_dense_parts():
     got, kept, _ = similarity_clusters.condense(20, u[keep], v[keep], s[u, v][keep], np.ones(20, "i8"), 5, 1.0, 0.0)
     assert len(set(got[:10]) - {-1}) == 1 and len(set(got[10:]) - {-1}) == 1 and set(got[:10]) != set(got[10:])
     assert (kept[got >= 0] >= 0).all()
+
+
+def test_mutual_reachability_equals_brute_force(vector_table, instances, cloud):
+    """Components at 0.8 when a record needs two others as near, copies counted."""
+    names = {r.id: r.lu_lemma.strip().lower() if r.lu_lemma else None for r in instances.collect()}
+    keys, s, _ = brute(cloud)
+    same = np.array([[names[int(a)] is not None and names[int(a)] == names[int(b)] for b in keys] for a in keys])
+    s = np.where(same, s, -2)
+    np.fill_diagonal(s, -2)
+    core = -np.sort(-s, axis=1)[:, 1]  # itself is the first of three
+    w = np.minimum(s, np.minimum(core[:, None], core[None]))
+    edges = [(int(keys[i]), int(keys[j]), float(w[i, j])) for i, j in zip(*np.nonzero(np.triu(w >= 0.8, 1)))]
+    _, roots = kruskal(edges)
+    rows = similarity_clusters.grouped_vectors(vector_table, instances).select("grp", "key", "vec")
+    model = similarity_clusters.Clustering(rows, 0.8, min_samples=3)
+    got = {r.key: r.comp for r in model.components().join(model.members, "rep").collect()}
+    # copies of one vector are one node; two copies alone are too few for a core of three
+    for a in roots:
+        for b in roots:
+            assert (got[a] == got[b]) == (roots[a] == roots[b])
