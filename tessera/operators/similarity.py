@@ -143,3 +143,20 @@ def group_sample(rows: DataFrame, group: str, key: str, n: int, labelled: str |
     last = (F.coalesce(F.col(labelled), F.lit("<unk>")) == "<unk>") if labelled else F.lit(False)
     rank = F.row_number().over(Window.partitionBy(group).orderBy(last, F.xxhash64(F.lit(seed), key), key))
     return rows.withColumn("_n", rank).where(F.col("_n") <= n).drop("_n")
+
+
+def sampled_silhouettes(rows: DataFrame, key: str, cluster: str, vector: str, dim: int, n: int = 1000, draws: int = 3) -> DataFrame:
+    """``draw, n, mean``: the mean silhouette of several samples of ``n`` rows, each drawn by the hash of its number."""
+    out = None
+    for d in range(draws):
+        part = silhouettes(sample(rows.where(F.col(cluster).isNotNull() & F.col(vector).isNotNull()), key, n, d), key, cluster, vector, dim)
+        one = part.agg(F.count("*").alias("n"), F.avg("silhouette").alias("mean")).select(F.lit(d).alias("draw"), "n", "mean")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def kth_largest_distance(rows: DataFrame, key: str, vector: str, k: int, margin: float = 1e-6) -> DataFrame:
+    """``threshold``: the k-th largest cosine distance of all pairs, a little enlarged; null where there are fewer pairs. For tables of clusters."""
+    pairs = similar_pairs(rows.withColumn("_all", F.lit("all")), "_all", key, vector, -2.0)
+    top = pairs.select((1 - F.col("cosine")).alias("d")).orderBy(F.desc("d")).limit(k)
+    return top.agg(F.count("*").alias("n"), F.min("d").alias("d")).select(F.when(F.col("n") == k, F.col("d") + margin).alias("threshold"))

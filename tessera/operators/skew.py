@@ -106,7 +106,8 @@ def balanced_join(left: DataFrame, right: DataFrame, key: str, spread: str, task
     clash = [c for c in right.columns if c != key and c in left.columns]
     copies = right.withColumnsRenamed({c: f"right_{c}" for c in clash}).withColumn("_k", k).where("_k is not null").drop(key)
     copies = copies.withColumn("_task", F.explode(F.array_distinct(plan.all_tasks(F.col("_k")))))
-    return sent.hint("shuffle_merge").join(copies, ["_task", "_k"], how).drop("_task", "_k")
+    # both sides go to their tasks by number, and the join needs no other exchange
+    return sent.repartitionById(tasks, "_task").hint("shuffle_merge").join(copies.repartitionById(tasks, "_task"), ["_task", "_k"], how).drop("_task", "_k")
 
 
 def per_key_results(rows: DataFrame, key: Column, label: Column, record: Column, large: float = 0.025, tasks: int | None = None) -> DataFrame:

@@ -85,3 +85,15 @@ def seeded(config: dict, local_seeds: list[int], global_seeds: list[int]) -> lis
         c["global"]["clusterer"]["random_state"] = b
         out.append(c)
     return out
+
+
+def best_config(runs: list[dict], ranks: dict[str, int]) -> dict:
+    """Of the best-ranked runs (rank by run identifier) the first by identifier: the same whatever the order of the runs."""
+    best = min(ranks.values())
+    return min((r for r in runs if ranks.get(run_identifier(r)) == best), key=run_identifier)
+
+
+def stopping_grid(thresholds: list[float], alphas: list[float], linkage: str = "average") -> dict:
+    """The grid of one-step agglomerative clusterings over merge thresholds and weights."""
+    keys = [{"key": ["local", "clusterer", "distance_threshold"], "values": thresholds}, {"key": ["local", "alpha"], "values": alphas}]
+    return {"name": "stopping", "hyperparameters": keys, "base_run_settings": {"local": {"clusterer": {"type": "ha", "linkage": linkage, "n_clusters": None}}}}

@@ -290,4 +290,9 @@ SQL: dict[str, str] = {
     "masked_sentences": """
         select id, array_to_string(list_transform(extrainfo.tokens, lambda t, i: case when i - 1 = extrainfo.lu_index[1] then '[MASK]' else coalesce(t, '*') end), ' ') as sentence
         from frameinstances where extrainfo.tokens is not null and extrainfo.lu_index is not null""",
+    "merge_threshold": f"""with {_CENTROIDS}, d as (select 1 - list_dot_product(a.c, b.c) as d from unit a join unit b on a.label < b.label),
+        top as (select d from d order by d desc limit 10)
+        select case when count(*) = 10 then round(min(d) + 1e-6, 6) end as threshold from top""",
+    "vector_dimensions": "select len(embedding) as dims, count(*) as n from instance_vectors where masking = 'unmasked' group by 1",
+    "events_by_day": "select cast(date_trunc('day', ts) as timestamp) as start, event_type, count(*) as count from events group by 1, 2",
 }

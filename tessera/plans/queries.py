@@ -11,6 +11,7 @@ from tessera.operators import evaluation, fingerprints, leaderboard, similarity,
 from tessera.plans import experiments, pipeline, tables
 from tessera.sources import corpora, encoders, stores
 from tessera.storage import table
+from tessera.streaming import imports
 
 QUERIES: dict = {}
 
@@ -445,3 +446,27 @@ def extracted_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def masked_sentences(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "frameinstances").select("id", "extrainfo.tokens", "extrainfo.lu_index").where("tokens is not null and lu_index is not null")
     return rows.select("id", F.array_join(encoders.masked_tokens("tokens", "lu_index"), " ", "*").alias("sentence"))
+
+
+@query
+def sampled_silhouettes(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean silhouette of three samples of a hundred vectors: sampling is what this operator does."""
+    return _rounded(similarity.sampled_silhouettes(table(spark, folder, "embeddings"), "vec_id", "label", "embedding", 64, 100, 3))
+
+
+@query
+def merge_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    """The tenth largest distance between label centroids."""
+    means = similarity.centroids(table(spark, folder, "embeddings"), ["label"], "embedding", 64)
+    return _rounded(similarity.kth_largest_distance(means, "label", "embedding", 10), 6)
+
+
+@query
+def vector_dimensions(spark: SparkSession, folder: str) -> DataFrame:
+    return stores.count_and_dims(stores.open_store(spark, f"model:{folder}/instance_vectors.parquet?masking=unmasked"))
+
+
+@query
+def events_by_day(spark: SparkSession, folder: str) -> DataFrame:
+    """Events by type in windows of a day: the batch form of the windowed stream."""
+    return imports.windowed_counts(table(spark, folder, "events"), "ts", "event_type", "1 day")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,3 +63,30 @@ def copy_by_global_id(vectors: DataFrame, source: DataFrame, target: DataFrame,
     pairs = source.select(F.col("id").alias("key"), "global_id").join(target.select(F.col("id").alias("new"), "global_id"), "global_id")
     found = vectors.join(pairs, "key").groupBy("new").agg(F.min_by("embedding", "key").alias("embedding")).select(F.col("new").alias("key"), "embedding")
     return found if stored is None else missing(found, stored, "key")
+
+
+def open_store(spark: SparkSession, url: str, dim: int | None = None) -> DataFrame:
+    """``key, embedding`` of a vector store named by a URL.
+
+    ``file:`` and other file systems hold Parquet of key and embedding; ``table:name`` is a table of the catalog; ``model:path?model=m&masking=k`` is the part
+    of a table of several models. With ``dim`` vectors of another length are left out.
+    """
+    scheme, _, rest = url.partition(":")
+    if scheme == "table":
+        rows = spark.table(rest)
+    elif scheme == "model":
+        path, _, query = rest.partition("?")
+        rows = spark.read.parquet(path)
+        for k, v in re.findall(r"(\w+)=([^&]*)", query):
+            if k not in ("model", "masking"):
+                raise ValueError(f"a store is chosen by model and masking, not by {k!r}")
+            rows = rows.where(F.col(k) == v)
+    else:
+        rows = spark.read.parquet(url)
+    rows = rows.select("key", "embedding")
+    return rows if dim is None else rows.where(F.size("embedding") == dim)
+
+
+def count_and_dims(store: DataFrame) -> DataFrame:
+    """``dims, n``: how many vectors of each length; null vectors have null dims."""
+    return store.groupBy(F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims")).agg(F.count("*").alias("n"))
