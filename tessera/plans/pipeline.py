@@ -77,8 +77,8 @@ def two_step(rows: DataFrame, config: dict, testsplits: list[str], dim: int = 64
     means = similarity.centroids(named, ["local_cluster", "known_label"], "vector", dim).withColumn("id", F.xxhash64("local_cluster"))
     means = materialize(means, "centroids")
     usable = means.where(F.col("known_label").isNotNull() | F.col("numaveraged").between(glob["min_size"], glob["max_size"]))
-    edges = similarity.similar_pairs(usable.withColumn("all", F.lit("all")), "all", "id", "embedding", float(glob["clusterer"].get("min_weight", 0.5)))
-    spread = propagate_labels(usable.select(F.col("id").alias("node"), F.col("known_label").alias("fixed")), edges.select("a", "b", F.col("cosine").alias("w")))
+    # one group of all clusters: in a task if it is small enough, else over the edge table
+    spread = local_labels(usable.select(F.col("id").alias("instance_id"), F.lit("all").alias("lu_lemma"), F.col("known_label").alias("fixed"), F.col("embedding").alias("vector")), glob["clusterer"]).withColumnRenamed("instance_id", "node")
     new = F.col("label").startswith("#")
     step2 = usable.join(spread, F.col("id") == F.col("node")).select("local_cluster", "embedding", "numaveraged", "known_label", F.when(new, F.concat(F.lit("g::"), F.substring("label", 2, 40))).otherwise(F.col("label")).alias("cluster_label"))
     if glob["merge_knowns"] == "never":
