@@ -1,15 +1,12 @@
 """Frequency of every distinct value or term.
 
-Method: burst-trie counting. Records are routed by their id, so that each worker sees all rows of its
-records and counts a term once for each; it accumulates occurrences and records in a compact trie whose
-containers burst when they grow. Subtrees are then routed by prefixes that adapt to the terms (frequent
+Method: burst-trie counting. Rows are first reduced to one for each record and term, so that a term counts once for
+each record; every worker accumulates occurrences and records in a compact trie whose containers burst when they grow. Subtrees are then routed by prefixes that adapt to the terms (frequent
 prefixes are longer) and matching subtrees of different workers are merged.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,36 +94,26 @@ def term_counts(rows: DataFrame, fields: list[str], record: str, parts: int | No
     one count as occurrences and as no record. An empty table gives no rows; repeated rows count as often as they occur.
     """
     spark = rows.sparkSession
-    id_cols = [F.xxhash64(F.lit(1), record).alias("_r1"), F.xxhash64(F.lit(2), F.reverse(F.col(record).cast("string"))).alias("_r2"), F.col(record).isNotNull().alias("_has")]
-    wide = rows.select(*id_cols, *[fold_term(f).alias(f"_t{i}") for i, f in enumerate(fields)])
-    wide = wide.where(" or ".join(f"_t{i} is not null" for i in range(len(fields))))
-    if parts is None:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = [F.xxhash64(F.lit(1), record).alias("r1"), F.xxhash64(F.lit(2), F.reverse(F.col(record).cast("string"))).alias("r2"), F.col(record).isNotNull().alias("has")]
+    found = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), fold_term(f).alias("term")) for i, f in enumerate(fields)]))
+    long = rows.select(*ids, found.alias("x")).select("r1", "r2", "has", "x.*").where("term is not null")
     # the sample of terms: bounded, and only for balance; all rows are counted
-    chosen = wide.where("pmod(_r1, 64) = 0").select(*[f"_t{i}" for i in range(len(fields))]).limit(ROUTE_SAMPLE).toArrow()
-    routes = plan_routes([t for c in chosen.columns for t in c.to_pylist() if t is not None])
+    chosen = long.where("pmod(r1, 64) = 0").select("term").limit(ROUTE_SAMPLE).toArrow()
+    routes = plan_routes(chosen.column(0).to_pylist())
+    # a row for each record and term; repetitions are merged before the shuffle, and neither a record nor a term of many rows is one task's
+    pairs = long.groupBy("r1", "r2", "has", "field", "term").agg(F.count("*").alias("n"))
+    names = ["field", "route", "terms", "occurrences", "records"]
     schema = "field int, route int, terms array<string>, occurrences array<long>, records array<long>"
-    width = len(fields)
 
     def accumulate(batches):
-        tries = [BurstTrie() for _ in range(width)]
-        t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if t is None or not t.num_rows:
-            return
-        frame = pd.DataFrame({"r1": t.column("_r1").to_numpy(), "r2": t.column("_r2").to_numpy(), "has": t.column("_has").to_numpy(zero_copy_only=False)})
-        for k in range(width):
-            codes = t.column(f"_t{k}").combine_chunks().dictionary_encode()
-            codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
-            words = codes.dictionary.to_pylist()
-            c = codes.indices.to_numpy(zero_copy_only=False)
-            some = ~np.isnan(c) if c.dtype.kind == "f" else np.ones(len(c), bool)
-            part = frame[some].assign(c=c[some].astype("i8"))
-            occurrences = np.bincount(part.c, minlength=len(words))
-            once = part[part.has].drop_duplicates(["c", "r1", "r2"])
-            records = np.bincount(once.c, minlength=len(words))
-            for word, o, r in zip(words, occurrences.tolist(), records.tolist()):
-                tries[k].add(word, o, r)
-        yield from _subtrees(tries, routes)
+        tries = [BurstTrie() for _ in fields]
+        for batch in batches:
+            t = pa.table({"field": batch.column("field"), "term": batch.column("term"), "n": batch.column("n"), "r": batch.column("has").cast(pa.int64())})
+            t = t.group_by(["field", "term"]).aggregate([("n", "sum"), ("r", "sum")])
+            for field, term, n, r in zip(*(t.column(c).to_pylist() for c in ("field", "term", "n_sum", "r_sum"))):
+                tries[field].add(term, n, r)
+        yield from _subtrees(tries, routes, names)
 
     def merge(batches):
         tries: dict[tuple[int, int], BurstTrie] = {}
@@ -142,13 +129,13 @@ def term_counts(rows: DataFrame, fields: list[str], record: str, parts: int | No
                 names=["field", "term", "occurrences", "records"],
             )
 
-    trees = wide.repartition(parts, "_r1", "_r2").mapInArrow(accumulate, schema)
-    merged = trees.repartition("field", "route").mapInArrow(merge, "field int, term string, occurrences long, records long")
+    trees = pairs.select("field", "term", "n", "has").mapInArrow(accumulate, schema)
+    merged = trees.repartition(parts, "field", "route").mapInArrow(merge, "field int, term string, occurrences long, records long")
     name = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field") + 1)
     return merged.select(name.alias("field_name"), "term", "occurrences", "records")
 
 
-def _subtrees(tries: list[BurstTrie], routes: list[str]):
+def _subtrees(tries: list[BurstTrie], routes: list[str], names: list[str]):
     """The tries cut along the routes, as one row of terms and counters for each."""
     import bisect
 
@@ -160,7 +147,7 @@ def _subtrees(tries: list[BurstTrie], routes: list[str]):
             cols = [[list(c) for c in zip(*v)] for v in cut.values()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([field] * len(cut), pa.int32()), pa.array(list(cut), pa.int32()), pa.array([c[0] for c in cols], pa.list_(pa.string())), pa.array([c[1] for c in cols], pa.list_(pa.int64())), pa.array([c[2] for c in cols], pa.list_(pa.int64()))],
-                names=["field", "route", "terms", "occurrences", "records"],
+                names=names,
             )
 
 
