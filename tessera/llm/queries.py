@@ -48,9 +48,10 @@ def _overlaps(spark: SparkSession, folder: str) -> split_overlap.Overlaps:
     """Sentences with the split their instances have in the default split of their dataset."""
     rows = table(spark, folder, "salsa").select(fold("global_sentence_id").alias("id"), "tokenized_sentence", fold("data_source").alias("source"), "instance_id").where("id is not null")
     splits = table(spark, folder, "split_instances").where("datasetsplit_id = 1").groupBy("instance_id").agg(F.max(fold("split")).alias("split"))
-    one = rows.join(splits, "instance_id", "left")
-    known = one.groupBy("id").agg(F.max("split").alias("split"), F.max("tokenized_sentence").alias("text"), F.collect_set("source").alias("sources"))
-    return split_overlap.Overlaps(known.select("id", "text", "split", F.explode_outer("sources").alias("source")))
+    # rows without an instance take no part in the join: their nulls would all meet in one task
+    known = rows.where("instance_id is not null").select("id", "instance_id").distinct().join(splits, "instance_id").groupBy("id").agg(F.max("split").alias("split"))
+    texts = rows.groupBy("id").agg(F.max("tokenized_sentence").alias("text"), F.collect_set("source").alias("sources")).join(known, "id")
+    return split_overlap.Overlaps(texts.select("id", "text", "split", F.explode_outer("sources").alias("source")))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
