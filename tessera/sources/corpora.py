@@ -88,10 +88,10 @@ def unified(rows: DataFrame, corpus: str) -> DataFrame:
 def alternative_split(rows: DataFrame, wide: DataFrame, number: str, remove: bool = False) -> DataFrame:
     """Splits reassigned by data source: those named dev or test in column ``number`` of the wide table, all others train. Dev wins over test.
 
-    With ``remove`` rows of sources the table doesn't name are left out. The wide table has a row for each source and is small.
+    With ``remove`` rows of sources the table doesn't name are left out.
     """
     named = wide.where(F.col(number).isin("dev", "test")).groupBy("data_source").agg(F.min(number).alias("_new"))
-    out = rows.join(F.broadcast(named), "data_source", "inner" if remove else "left")
+    out = rows.join(named, "data_source", "inner" if remove else "left")
     return out.withColumn("split", F.coalesce("_new", F.lit("train"))).drop("_new")
 
 
