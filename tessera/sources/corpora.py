@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import UNKNOWN
+from tessera.storage import materialize
 
 #: Columns of the block format, in order; a block is a sentence with one target, blocks are separated by blank lines.
 BLOCK_FIELDS = ("id", "form", "lemma", "plemma", "pos", "ppos", "feat", "pfeat", "head", "phead", "deprel", "pdeprel", "fillpred_lu", "pred_frame", "apreds")
@@ -43,7 +44,8 @@ def write_tsv(rows: DataFrame, path: str) -> None:
 
 def numbered(rows: DataFrame, order: str, name: str = "c") -> DataFrame:
     """Rows with a running number from 0 by ``order``; positions within ranges are added to the sizes of those before, so no task sorts all rows."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    # written, so that both uses see the same ranges
+    ranged = materialize(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inner = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
