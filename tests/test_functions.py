@@ -128,3 +128,12 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert {r.id for r in similarity.sample(df, "id", 20, 4).collect()} == {r.id for r in similarity.sample(df.repartition(7), "id", 20, 4).collect()}
     got = similarity.group_sample(df, "g", "id", 10, "l").collect()
     assert len(got) == 30 and all(r.l == "L" for r in got)
+
+
+def test_written_tables_are_read_back_and_cleared(spark):
+    from tessera import storage
+
+    storage.clear(spark)
+    got = storage.materialize(spark.range(5).withColumnRenamed("id", "x y"), "t")
+    assert got.count() == 5 and got.columns == ["x y"]
+    assert storage.clear(spark) == 1 and storage.clear(spark) == 0
