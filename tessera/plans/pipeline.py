@@ -55,19 +55,30 @@ def local_labels(rows: DataFrame, config: dict) -> DataFrame:
     return done.union(spread.select(F.col("node").alias("instance_id"), "label"))
 
 
-def two_step(rows: DataFrame, config: dict, testsplits: list[str], dim: int = 64) -> DataFrame:
+def _clustered(rows: DataFrame, data: dict, testsplits: list[str]) -> DataFrame:
+    lemmas = filtered_lemmas(rows.where("lu_lemma is not null"), testsplits, data["mincount"], data["maxcount"]).select("lu_lemma")
+    return rows.join(lemmas, "lu_lemma")
+
+
+def local_step(rows: DataFrame, config: dict, testsplits: list[str]) -> DataFrame:
+    """``instance_id, label`` of the local step, written, to be shared by runs that differ in global settings only."""
+    rows = rows.withColumn("fixed", training_label("label", "split", testsplits))
+    return materialize(local_labels(_clustered(rows, config["data"], testsplits), config["local"]["clusterer"]), "local")
+
+
+def two_step(rows: DataFrame, config: dict, testsplits: list[str], dim: int = 64, labels: DataFrame | None = None) -> DataFrame:
     """``instance_id, lu_lemma, split, label_true, local_cluster, cluster_label, assigned_by`` of every row.
 
     ``rows``: ``instance_id, lu_lemma, split, label, vector`` with each instance once. Lemmas that :func:`filtered_lemmas` leaves out, and rows without a
     lemma, are not clustered; of them the test rows get the nearest cluster (``nn``), the others none. A cluster with a training label is known and
     called by it, others by their lemma. ``merge_knowns`` of the global settings: ``before_global`` and ``after_local`` join known clusters of
     all lemmas before the global step, ``after_global`` by their common label after it, ``never`` keeps them apart by lemma.
+    ``labels`` are :func:`local_step` of the same rows and settings, where they are at hand.
     """
     data, local, glob = config["data"], config["local"], config["global"]
     rows = materialize(rows.withColumn("fixed", training_label("label", "split", testsplits)), "instances")
-    lemmas = filtered_lemmas(rows.where("lu_lemma is not null"), testsplits, data["mincount"], data["maxcount"]).select("lu_lemma")
-    clustered = rows.join(lemmas, "lu_lemma")
-    labels = materialize(local_labels(clustered, local["clusterer"]), "local")
+    clustered = _clustered(rows, data, testsplits)
+    labels = materialize(local_labels(clustered, local["clusterer"]), "local") if labels is None else labels
     known = ~F.col("label").startswith("#")
     named = clustered.select("instance_id", "lu_lemma", "vector").join(labels, "instance_id")
     together = glob["merge_knowns"] in ("before_global", "after_local")

@@ -150,3 +150,20 @@ def test_grid_and_hashes():
     assert merged["local"]["clusterer"] == {"type": "ha"} and merged["local"]["alpha"] == 0.5
     assert len(experiments.seeded(runs[0], [1, 2], [3, 4, 5])) == 6
     assert experiments.load('{"a": 1}') == {"a": 1}
+
+
+def test_grid_runs_share_local_steps_and_are_scored(instances, monkeypatch):
+    from tessera.plans import runner
+
+    steps = []
+    real = pipeline.local_step
+    monkeypatch.setattr(pipeline, "local_step", lambda *a: steps.append(1) or real(*a))
+    base = {"data": {"splits": ["train", "test"], "testsplits": ["test"]}}
+    configs = experiments.grid({"hyperparameters": [{"key": ["global", "merge_knowns"], "values": ["before_global", "after_global"]}], "base_run_settings": base})
+    configs += experiments.grid({"base_run_settings": {**base, "local": {"clusterer": {"type": "nothing"}}}})
+    configs += experiments.grid({"base_run_settings": {"data": {"splits": ["train"], "testsplits": ["test"]}}})
+    got = {r.identifier: r for r in runner.run_grid(lambda alpha: instances, configs, dim=8).collect()}
+    assert len(got) == 4 and len(steps) == 2
+    assert [got[experiments.run_identifier(c)].status for c in configs] == ["finished", "finished", "failed", "failed"]
+    first = got[experiments.run_identifier(configs[0])]
+    assert first.micro_f1__novelty_frame == 1 and first.bcubed_f1 == 1 and first.numclusters >= 4
