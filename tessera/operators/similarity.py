@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import element_means, l2_normalize
 from tessera.operators.blocks import matrix, table_of, unit
+from tessera.storage import materialize
 
 #: Rows of a tile side when a group is compared with itself.
 TILE_ROWS = 2048
@@ -35,11 +36,12 @@ def blended_vectors(first: DataFrame, second: DataFrame, alpha: float | str, key
     return first.join(b, key).select(key, blend(embedding, "_m", alpha).alias("vector"))
 
 
-def similar_pairs(rows: DataFrame, group: str, key: str, vector: str, min_similarity: float, parts: int | None = None) -> DataFrame:
-    """``grp, a, b, cosine`` with a < b: all pairs of a group at least that similar.
+def similar_pairs(rows: DataFrame, group: str, key: str, vector: str, min_similarity: float, parts: int | None = None, knn: int | None = None) -> DataFrame:
+    """``grp, a, b, cosine`` with a < b: all pairs of a group at least that similar; with ``knn`` only those to the ``knn`` most similar rows of either end.
 
     A group is cut into chunks, and each pair of chunks is a tile compared as one matrix product, so a large group is many tasks.
-    Only pairs at or above the limit leave a task. A null group pairs with nothing.
+    Only pairs at or above the limit leave a task, with ``knn`` only the most similar of each row in the tile; of equally similar rows the smaller
+    keys count. A null group pairs with nothing.
     """
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select(F.col(group).cast("string").alias("grp"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where("grp is not null and k is not null and v is not null")
@@ -65,14 +67,33 @@ def similar_pairs(rows: DataFrame, group: str, key: str, vector: str, min_simila
             m = s + int((c[s:e] == i[s]).sum())
             lo, hi = (slice(s, e), slice(s, e)) if i[s] == j[s] else (slice(s, m), slice(m, e))
             sims = x[lo] @ x[hi].T
-            a, b = np.nonzero(sims >= min_similarity)
+            keep = sims >= min_similarity
+            if knn is not None:
+                keep &= _nearest_of_tile(sims, keys[lo], keys[hi], knn)
+            a, b = np.nonzero(keep)
             ka, kb, w = keys[lo][a], keys[hi][b], sims[a, b]
             keep = ka < kb if i[s] == j[s] else ka != kb
             ka, kb, w = ka[keep], kb[keep], w[keep]
             if len(w):
                 yield pa.RecordBatch.from_arrays([pa.array([names[int(s)].as_py()] * len(w)), pa.array(np.minimum(ka, kb)), pa.array(np.maximum(ka, kb)), pa.array(w)], names=["grp", "a", "b", "cosine"])
 
-    return tiles.repartition(parts, "grp", "i", "j").mapInArrow(run, f"grp string, a {kind}, b {kind}, cosine double")
+    pairs = tiles.repartition(parts, "grp", "i", "j").mapInArrow(run, f"grp string, a {kind}, b {kind}, cosine double")
+    if knn is None:
+        return pairs
+    pairs = materialize(pairs, "near")
+    ends = pairs.select("*", F.col("a").alias("k"), F.col("b").alias("o")).union(pairs.select("*", F.col("b").alias("k"), F.col("a").alias("o")))
+    rank = F.row_number().over(Window.partitionBy("grp", "k").orderBy(F.desc("cosine"), "o"))
+    return ends.withColumn("rank", rank).where(F.col("rank") <= knn).select("grp", "a", "b", "cosine").distinct()
+
+
+def _nearest_of_tile(sims: np.ndarray, ka: np.ndarray, kb: np.ndarray, k: int) -> np.ndarray:
+    """Which entries are among the ``k`` greatest of their row or of their column, an entry of a key with itself left out; of equal ones the smaller keys."""
+    sims = np.where(ka[:, None] == kb[None, :], -np.inf, sims)
+    keep = np.zeros(sims.shape, bool)
+    for m, at, out in ((sims, np.argsort(kb, kind="stable"), keep), (sims.T, np.argsort(ka, kind="stable"), keep.T)):
+        near = at[np.argsort(-m[:, at], axis=1, kind="stable")[:, :k]]
+        out[np.arange(len(m))[:, None], near] = True
+    return keep
 
 
 def centroids(rows: DataFrame, group: list[str], vector: str, dim: int, normalise: bool = True) -> DataFrame:

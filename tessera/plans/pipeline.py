@@ -49,9 +49,13 @@ def local_labels(rows: DataFrame, config: dict) -> DataFrame:
     if kind not in ("cw", "unsup-cw"):
         raise ValueError(f"a lemma has more than {TASK_ROWS} rows; {kind} holds all pairs of a lemma in memory")
     rest = rows.join(large, "lu_lemma")
-    edges = similarity.similar_pairs(rest, "lu_lemma", "instance_id", "vector", float(config.get("min_weight", 0.5)))
+    # the graph, rounds and seed are those of the clusterer in a task
+    cw = clusterers.create(config)
+    least = -1.1 if cw.knn is not None else float(cw.min_weight)
+    edges = similarity.similar_pairs(rest, "lu_lemma", "instance_id", "vector", least, knn=cw.knn)
+    edges = edges.where("cosine > 0" if cw.binarize or cw.knn is not None else "cosine <> 0")
     nodes = rest.select(F.col("instance_id").alias("node"), (F.col("fixed") if kind == "cw" else F.lit(None).cast("string")).alias("fixed"))
-    spread = propagate_labels(nodes, edges.select("a", "b", F.col("cosine").alias("w")), int(config.get("max_iter", 20)), not config.get("binarize", True))
+    spread = propagate_labels(nodes, edges.select("a", "b", F.col("cosine").alias("w")), cw.max_iter, not cw.binarize, cw.random_state or 0)
     return done.union(spread.select(F.col("node").alias("instance_id"), "label"))
 
 

@@ -133,6 +133,44 @@ def test_large_lemmas_go_over_the_edge_table(instances):
     assert known == {i for i, c in spread.items() if not c.startswith("#")} and all(plain[i] == spread[i] for i in known)
 
 
+def _both_paths(rows, config):
+    """Labels of the task's clusterer and of the edge table, as groups of ids."""
+    out, old = [], pipeline.TASK_ROWS
+    for limit in (old, 5):
+        pipeline.TASK_ROWS = limit
+        try:
+            groups = {}
+            for r in pipeline.local_labels(rows, config).collect():
+                groups.setdefault(r.label, set()).add(r.instance_id)
+        finally:
+            pipeline.TASK_ROWS = old
+        out.append({frozenset(g) for g in groups.values()})
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"knn": 10}, {"knn": 10, "binarize": False}, {"min_weight": 0.9}])
+def test_both_paths_agree_on_unlabelled_rows(spark, options):
+    # tight clouds at a cosine of about 0.65 to each other: one cluster at the default weight, apart by their nearest rows or at 0.9
+    rng = np.random.default_rng(6)
+    centres = np.full((3, 8), 0.25) + 0.6 * np.eye(8)[:3]
+    rows = [(i, "l", None, (centres[i % 3] + rng.normal(0, 0.02, 8)).tolist()) for i in range(45)]
+    rows = spark.createDataFrame(rows, "instance_id long, lu_lemma string, fixed string, vector array<double>")
+    task, table = _both_paths(rows, {"type": "cw", "random_state": 2} | options)
+    assert task == table and len(task) == (3 if options else 1)
+
+
+def test_labels_travel_as_far_in_both_paths(spark):
+    # a chain whose edges grow weaker: each node takes the label of the one before it, so the known label passes one node after another
+    n = 20
+    off = np.linspace(0.49, 0.40, n - 1)
+    x = np.linalg.cholesky(np.eye(n) + np.diag(off, 1) + np.diag(off, -1))
+    rows = spark.createDataFrame([(i, "l", "A" if i == 0 else None, x[i].tolist()) for i in range(n)], "instance_id long, lu_lemma string, fixed string, vector array<double>")
+    task, table = _both_paths(rows.coalesce(1), {"type": "cw", "min_weight": 0.3, "binarize": False, "random_state": 1})
+    assert task == table == {frozenset(range(n))}
+    with pytest.warns(RuntimeWarning, match="not settled"):
+        _both_paths(rows.coalesce(1), {"type": "cw", "min_weight": 0.3, "binarize": False, "max_iter": 1, "random_state": 1})
+
+
 def test_rows_of_left_out_lemmas_get_the_nearest_cluster(spark, instances):
     more = spark.createDataFrame([(900, "rare", "test", "F1", [0.0, 1.0] + [0.0] * 6)], ROWS)
     config = experiments.with_defaults({"data": {"mincount": 2, "testsplits": ["test"]}})
