@@ -3,7 +3,8 @@
 Method: component swap search. Records that share a value of any given column form a component; components start
 in splits by hash, and are moved and exchanged whole to reduce the deviation of sizes and labels from the targets.
 The search is annealed in parallel, one block of components to a task, several times from different seeds, and the
-best of each block is kept. A block holds its targets by itself, so the whole does too.
+best of each block is kept. Components that are large beside a block are placed first, against the targets of the whole;
+blocks share what is left of the targets, and a last block takes up what all others leave open.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from tessera.storage import materialize
 
 #: Components of a block, its annealing steps for each component, and starts.
 BLOCK, STEPS, STARTS = 4096, 6, 2
+#: A component with more than this part of a block's smallest share is placed before the blocks; so many labels of such components are balanced.
+LARGE, LARGE_LABELS = 0.25, 1000
 
 
 def components(rows: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
@@ -37,16 +40,17 @@ def components(rows: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
     return got.select(row_id, F.coalesce("comp", "_n").cast("string").alias("comp"))
 
 
-def anneal(sizes: np.ndarray, labels: np.ndarray, start: np.ndarray, shares: np.ndarray, seed: int, steps: int, weight: float) -> tuple[np.ndarray, float]:
+def anneal(sizes: np.ndarray, labels: np.ndarray, start: np.ndarray, shares: np.ndarray, seed: int, steps: int, weight: float, target: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Splits of components after annealing, and their squared deviation: of sizes, plus ``weight`` times that of the labels on average.
 
-    The last state is given: the heat falls to a millionth, so the end is a descent.
+    ``target``: rows wanted in each split, of all and of each label, where they are not the ``shares``. The last state is given: the heat falls to a millionth, so the end is a descent.
     """
     rng = np.random.default_rng(seed)
     n, k = len(sizes), len(shares)
     load = np.concatenate([sizes[:, None], labels], axis=1)
-    load = load / np.maximum(load.sum(0), 1e-9) * np.sqrt(np.r_[1.0, np.full(labels.shape[1], weight / labels.shape[1])])
-    target = shares[:, None] * load.sum(0)
+    scale = np.sqrt(np.r_[1.0, np.full(labels.shape[1], weight / labels.shape[1])]) / np.maximum(load.sum(0), 1e-9)
+    load = load * scale
+    target = shares[:, None] * load.sum(0) if target is None else target * scale
     split = start.copy()
     held = np.zeros_like(target)
     np.add.at(held, split, load)
@@ -82,6 +86,30 @@ def anneal(sizes: np.ndarray, labels: np.ndarray, start: np.ndarray, shares: np.
     return split, cost
 
 
+def _place_large(large: list, rows: int, by_label: dict[str, int], shares: np.ndarray, weight: float) -> tuple[list[int], np.ndarray, dict[str, np.ndarray]]:
+    """The split of each large component, greatest first, where it raises the deviation of the whole least; and the shares that are left for all other rows, in all and by label."""
+    names = sorted(by_label)
+    at = {x: i for i, x in enumerate(names)}
+    total = np.array([rows, *(by_label[x] for x in names)], dtype=float)
+    scale = np.sqrt(np.r_[1.0, np.full(len(names), weight / max(len(names), 1))]) / total
+    gap = -shares[:, None] * total
+    placed, used = [], np.zeros(len(total))
+    for c in large:
+        load = np.zeros(len(total))
+        load[0] = c.n_rows
+        for x in c.labels:
+            if x.label in at:
+                load[1 + at[x.label]] += x.n
+        k = int(np.argmin([float((load * scale) @ ((2 * g + load) * scale)) for g in gap]))
+        gap[k] += load
+        used += load
+        placed.append(k)
+    left = np.maximum(-gap, 0)
+    sums = left.sum(0)
+    left = np.where((sums > 0) & (total > used), left / np.maximum(sums, 1e-9), shares[:, None])
+    return placed, left[:, 0], {x: left[:, 1 + i] for x, i in at.items()}
+
+
 def assign(
     rows: DataFrame,
     component: Column,
@@ -93,7 +121,7 @@ def assign(
 ) -> DataFrame:
     """``comp, n_rows, n_old_splits, old_splits, split``: a row for each component with its new split.
 
-    ``splits`` are names and shares of the rows. A component is never divided: one larger than a share makes that split as much
+    ``splits`` are names and shares of the rows. A component is never divided: one larger than every share makes its split as much
     too large. Null components are left out, a null label is a label of its own, null old splits don't count; an empty table
     gives no rows. The result depends on the rows and the seed only, not on their order.
     """
@@ -107,8 +135,23 @@ def assign(
     total = comps.count()
     blocks = max(1, -(-total // BLOCK))
     sent = comps.select("comp", "n_rows", "old", "labels", F.pmod(F.xxhash64(F.lit(seed), "comp"), F.lit(blocks)).cast("int").alias("block"))
-
-    def search(batches):
+    rest, rest_of, done = shares, {}, None
+    if blocks > 1:
+        n_all = comps.agg(F.sum("n_rows")).first()[0]
+        large = comps.where(F.col("n_rows") > LARGE * shares[shares > 0].min() * n_all / blocks).orderBy(F.desc("n_rows"), "comp").limit(BLOCK).select("comp", "n_rows", "labels").collect()
+        if large:
+            often: dict[str, int] = {}
+            for c in large:
+                for x in c.labels:
+                    often[x.label] = often.get(x.label, 0) + x.n
+            chosen = sorted(often, key=lambda x: (-often[x], x))[:LARGE_LABELS]
+            counts = comps.select(F.explode("labels").alias("l")).where(F.col("l.label").isin(*chosen)).groupBy("l.label").agg(F.sum("l.n").alias("n")).collect()
+            placed, rest, rest_of = _place_large(large, n_all, {r.label: r.n for r in counts}, shares, weight)
+            first = comps.sparkSession.createDataFrame([(c.comp, names[k]) for c, k in zip(large, placed)], "comp string, split string")
+            done = comps.join(F.broadcast(first), "comp").select("comp", "n_rows", "old", "split")
+            sent = sent.join(F.broadcast(first.select("comp")), "comp", "left_anti")
+
+    def search(batches, wanted=None):
         t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if t is None or not t.num_rows:
             return
@@ -121,8 +164,9 @@ def assign(
         owner = np.repeat(np.arange(t.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
         flat = lists.flatten()
         codes = flat.field("label").dictionary_encode()
+        share_of = np.array([rest_of.get(x, rest) for x in codes.dictionary.to_pylist()])
         counts, codes = flat.field("n").to_numpy().astype(float), codes.indices.to_numpy()
-        start = np.searchsorted(np.cumsum(shares), np.random.default_rng(seed).random(t.num_rows), side="right").clip(0, len(shares) - 1)
+        start = np.searchsorted(np.cumsum(rest), np.random.default_rng(seed).random(t.num_rows), side="right").clip(0, len(shares) - 1)
         for b in np.unique(block):
             here = np.flatnonzero(block == b)
             at = np.full(t.num_rows, -1)
@@ -135,10 +179,22 @@ def assign(
             column[top] = np.arange(len(top))
             labels = np.zeros((len(here), len(top) + 1))
             np.add.at(labels, (at[owner[mine]], column[codes[mine]]), counts[mine])
-            tries = [anneal(sizes[here], labels, start[here], shares, seed + s, STEPS * len(here) + 500, weight) for s in range(STARTS)]
+            target = np.zeros((len(shares), 1 + labels.shape[1]))
+            target[:, 0] = rest * sizes[here].sum() if wanted is None else wanted
+            np.add.at(target.T, 1 + column, by[:, None] * share_of[: len(by)])
+            tries = [anneal(sizes[here], labels, start[here], rest, seed + s, STEPS * len(here) + 500, weight, target) for s in range(STARTS)]
             split[here] = min(tries, key=lambda x: x[1])[0]
         out = pa.array(names).take(pa.array(split))
         yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (t.column("comp"), t.column("n_rows"), t.column("old"), out)], names=["comp", "n_rows", "old", "split"])
 
-    found = sent.repartitionById(blocks, "block").mapInArrow(search, "comp string, n_rows long, old array<string>, split string")
+    kind = "comp string, n_rows long, old array<string>, split string"
+    wanted = None
+    if blocks > 1:
+        found = sent.where("block > 0").repartitionById(blocks, "block").mapInArrow(search, kind)
+        done = materialize(found if done is None else found.union(done), "splits")
+        # the last block makes up for what the others and the large components leave open
+        held = {r["split"]: r.n for r in done.groupBy("split").agg(F.sum("n_rows").alias("n")).collect()}
+        wanted = shares * n_all - np.array([held.get(x, 0) for x in names], dtype=float)
+    found = sent.where("block = 0").repartitionById(1, "block").mapInArrow(lambda batches: search(batches, wanted), kind)
+    found = found if done is None else found.union(done)
     return found.select("comp", "n_rows", F.size("old").alias("n_old_splits"), F.col("old").alias("old_splits"), "split")

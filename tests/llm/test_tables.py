@@ -193,6 +193,15 @@ def test_components_stay_whole_and_shares_are_met(spark):
     assert {r.comp: r.n_old_splits for r in got} == {c: len(s) for c, s in by.items() if c is not None}
 
 
+def test_one_component_with_a_third_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(group_splits, "BLOCK", 200)
+    rows = [("big", "a", "train", "k", 1)] * 1000 + [(f"c{i}", "ab"[i % 2], "train", "k", 1) for i in range(2000)]
+    got = group_splits.assign(spark.createDataFrame(rows, SPLIT_ROWS), F.col("c"), F.col("label"), F.col("old"), {"train": 0.7, "dev": 0.1, "test": 0.2}).collect()
+    assert len(got) == 2001 and sum(r.n_rows for r in got) == 3000
+    for name, share in (("train", 0.7), ("dev", 0.1), ("test", 0.2)):
+        assert abs(sum(r.n_rows for r in got if r["split"] == name) / 3000 - share) < 0.005
+
+
 def test_labels_are_spread_evenly(spark):
     rows = [(f"c{i}", "rare" if i % 10 == 0 else "common", "train", "k", 1) for i in range(2000)]
     got = group_splits.assign(spark.createDataFrame(rows, SPLIT_ROWS), F.col("c"), F.col("label"), F.col("old"), {"train": 0.7, "dev": 0.1, "test": 0.2}).collect()
