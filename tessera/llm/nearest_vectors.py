@@ -80,7 +80,7 @@ def nearest(
     k: int = 5,
     min_similarity: float = -1.0,
     dim: int = 64,
-    probes: int = _ivf.PROBES,
+    probes: int | None = _ivf.PROBES,
     margin: float = _ivf.MARGIN,
     confidence: float = _ivf.CONFIDENCE,
     every: int | None = None,
@@ -90,7 +90,7 @@ def nearest(
     ``usable`` is ``key, vec`` as :func:`_ivf.usable_vectors` gives it. The cosine is taken in double
     precision and rounded to 9 digits; of equal ones the smaller key comes first, at rank 1 to k.
     With ``min_similarity`` only neighbours at least that similar come out, and the search abandons
-    all others early. ``every``: only keys divisible by it are queries, against all rows.
+    all others early. Without a number of ``probes`` every list is searched. ``every``: only keys divisible by it are queries, against all rows.
 
     An empty table gives no rows; a collection of fewer than k + 1 vectors gives all there are.
     """
@@ -102,6 +102,7 @@ def nearest(
         asking = members.where(F.col("key") % every == 0).select("rep").distinct()
         reps_asked = reps.join(asking.withColumn("asks", F.lit(True)), "rep", "left").select("rep", "vec", F.coalesce("asks", F.lit(False)).alias("asks"))
     quantiser = _ivf.fit(reps, rows, dim)
+    probes = len(quantiser.centroids) if probes is None else probes
     if every:
         # members that don't search are placed at home only
         placed = _ivf.place(reps_asked.where("asks"), quantiser, probes, margin)

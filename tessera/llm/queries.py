@@ -31,7 +31,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five most similar of every key divisible by 20, whatever their similarity."""
     usable = _ivf.usable_vectors(table(spark, folder, "instance_vectors"))
-    near = nearest_vectors.nearest(usable, 5, probes=128, margin=9.0, every=20)
+    # neighbours of low similarity may be in any list, so all are searched
+    near = nearest_vectors.nearest(usable, 5, probes=None, margin=9.0, every=20)
     return near.withColumn("similarity", F.round("similarity", 6))
 
 

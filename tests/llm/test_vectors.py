@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import _graph, _ivf, nearest_vectors, similarity_clusters
+from tessera.llm import _graph, _ivf, nearest_vectors, queries, similarity_clusters
 
 
 def brute(cloud, k=5):
@@ -185,3 +185,18 @@ def test_mutual_reachability_equals_brute_force(vector_table, instances, cloud):
     for a in roots:
         for b in roots:
             assert (got[a] == got[b]) == (roots[a] == roots[b])
+
+
+def test_neighbours_of_any_similarity_with_many_lists(spark, monkeypatch):
+    # 500 lists of strangers: the nearest are in lists all over the index
+    monkeypatch.setattr(_ivf, "LIST_ROWS", 4)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 64)).astype("f4")
+    rows = spark.createDataFrame([("unmasked", i, v.tolist()) for i, v in enumerate(x)], "masking string, key long, embedding array<float>")
+    monkeypatch.setattr(queries, "table", lambda *_: rows)
+    got = {(r.key, r.neighbour) for r in queries.p3_neighbours(spark, "").collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = u[::20] @ u.T
+    sims[np.arange(100), np.arange(0, 2000, 20)] = -2
+    want = {(20 * i, int(j)) for i, row in enumerate(np.argsort(-sims, axis=1)[:, :5]) for j in row}
+    assert len(got) == 500 and len(got & want) >= 0.99 * len(want)
