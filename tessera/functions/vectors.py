@@ -49,9 +49,9 @@ def mix(unmasked: Column | str, masked: Column | str, alpha: float | str) -> Col
 
 
 def blend(first: Column | str, second: Column | str, alpha: float | str) -> Column:
-    """``alpha`` parts of the first and ``1 - alpha`` of the second vector, not normalised."""
+    """``1 - alpha`` parts of the first and ``alpha`` of the second vector, not normalised: the other way round than :func:`mix`."""
     alpha = float(alpha)
-    return F.zip_with(_doubles(first), _doubles(second), lambda x, y: alpha * x + (1 - alpha) * y)
+    return F.zip_with(_doubles(first), _doubles(second), lambda x, y: (1 - alpha) * x + alpha * y)
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

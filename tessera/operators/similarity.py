@@ -29,7 +29,7 @@ def mixed_vectors(unmasked: DataFrame, masked: DataFrame, alpha: float | str, ke
 
 
 def blended_vectors(first: DataFrame, second: DataFrame, alpha: float | str, key: str = "key", embedding: str = "embedding") -> DataFrame:
-    """The same weights without normalising."""
+    """``key, vector``: ``1 - alpha`` parts of the first and ``alpha`` of the second vector, not normalised."""
     from tessera.functions.vectors import blend
 
     b = second.select(key, F.col(embedding).alias("_m"))

@@ -5,6 +5,11 @@ from __future__ import annotations
 _FOLD = "lower(trim({}, ' ' || chr(9) || chr(160)))"
 _LEMMA, _LABEL = _FOLD.format("lu_lemma"), f"case when {_FOLD.format('frame_label')} not in ('', '<unk>') then {_FOLD.format('frame_label')} end"
 
+# instances and bridge rows in one spelling: blanks are cut by pattern here
+_CUT = "regexp_replace(lower({}), '^[ \\t\u00a0]+|[ \\t\u00a0]+$', '', 'g')"
+_I = f"(select id, dataset_id, nullif({_CUT.format('lu_lemma')}, '') as lu_lemma, nullif({_CUT.format('frame_label')}, '') as frame_label, global_id, extrainfo from frameinstances)"
+_S = f"(select distinct datasetsplit_id, instance_id, {_CUT.format('split')} as split from split_instances)"
+
 _P7 = f"""
     with results as (
       select {_LEMMA} as lu_lemma, count(*) as n_rows, count(distinct {_LABEL}) as n_labels, count(distinct global_id) as n_instances,
@@ -12,23 +17,23 @@ _P7 = f"""
       from frameinstances where lu_lemma is not null group by 1
     )"""
 
-_BASE = """
-    splits_ as (select distinct * from split_instances),
+_BASE = f"""
+    splits_ as (select * from {_S}),
     train as (
-      select s.instance_id, s.split, f.lu_lemma, f.frame_label from splits_ s join frameinstances f on f.id = s.instance_id
+      select s.instance_id, s.split, f.lu_lemma, f.frame_label from splits_ s join {_I} f on f.id = s.instance_id
       where datasetsplit_id = 1 and split in ('train', 'dev')
     ),
     clusters_ as (
       select lu_lemma || '::' || frame_label as id, frame_label as transitive_label, frame_label <> '<unk>' as isknown, count(*) as numelems
-      from frameinstances where lu_lemma is not null and frame_label is not null group by 1, 2, 3
+      from {_I} where lu_lemma is not null and frame_label is not null group by 1, 2, 3
     ),
     assignments_ as (
       select id as instanceid, lu_lemma || '::' || frame_label as clusterid, lu_lemma as local_cluster_id
-      from frameinstances where lu_lemma is not null and frame_label is not null
+      from {_I} where lu_lemma is not null and frame_label is not null
     ),
     evaluation_ as (
       select f.id as instanceid, s.split, f.frame_label as label_true, f.lu_lemma, c.id as cid, c.id as clabel, c.transitive_label
-      from splits_ s join frameinstances f on f.id = s.instance_id
+      from splits_ s join {_I} f on f.id = s.instance_id
       left join assignments_ a on a.instanceid = f.id left join clusters_ c on c.id = a.clusterid
       where s.datasetsplit_id = 1 and s.split in ('test')
     )"""
@@ -57,9 +62,9 @@ _CLUSTERINGS = """
       from clusterings_ c left join clusterings_ l on l.id = c.clusteringid_local and l.type = 'local'
     )"""
 
-_PREDICTED = """
+_PREDICTED = f"""
     rows_ as (
-      select s.instance_id, s.split, f.lu_lemma, f.frame_label from (select distinct * from split_instances) s join frameinstances f on f.id = s.instance_id
+      select s.instance_id, s.split, f.lu_lemma, f.frame_label from {_S} s join {_I} f on f.id = s.instance_id
       where datasetsplit_id = 1 and split in ('train', 'dev', 'test') and frame_label <> '<unk>' and lu_lemma is not null
     ),
     top as (
@@ -71,7 +76,7 @@ _PREDICTED = """
       from rows_ r left join top t using (lu_lemma) where r.split <> 'train'
     ),
     known as (
-      select distinct frame_label as label from (select distinct * from split_instances) s join frameinstances f on f.id = s.instance_id
+      select distinct frame_label as label from {_S} s join {_I} f on f.id = s.instance_id
       where datasetsplit_id = 1 and split = 'train' and frame_label <> '<unk>'
     )"""
 
@@ -136,7 +141,7 @@ _CENTROIDS = """
     unit as (select label, n, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) as c from centres)"""
 
 _IMPORTED = "(select min(id) as id, global_id from frameinstances where global_id is not null group by global_id)"
-_SALSA = "select * from salsa where not coalesce(ends_with(frame_id, '-salsa'), false)"
+_SALSA = f"select * replace ({_CUT.format('split')} as split) from salsa where not coalesce(ends_with(frame_id, '-salsa'), false)"
 
 SQL: dict[str, str] = {
     "p7_found": _P7 + " select lu_lemma from results where is_large",
@@ -150,11 +155,11 @@ SQL: dict[str, str] = {
         )
         select lu_lemma, max(case when n = 1 then label end) as top_label, max(c) as n_agree, cast(sum(c) as bigint) as n_labelled
         from counts group by lu_lemma""",
-    "instances_in_splits": """
+    "instances_in_splits": f"""
         select f.dataset_id, d.name as dataset_name, s.datasetsplit_id, n.name as datasetsplit_name, s.split, s.instance_id, f.lu_lemma, f.frame_label, f.global_id
-        from (select distinct * from split_instances) s join frameinstances f on s.instance_id = f.id
+        from {_S} s join {_I} f on s.instance_id = f.id
         join datasetsplits n on s.datasetsplit_id = n.id join datasets d on f.dataset_id = d.id""",
-    "labels_of_dataset": "select frame_label as label, count(*) as numinstances, min(id) as first_instance, max(id) as last_instance from frameinstances where dataset_id = 1 group by frame_label",
+    "labels_of_dataset": f"select frame_label as label, count(*) as numinstances, min(id) as first_instance, max(id) as last_instance from {_I} where dataset_id = 1 group by frame_label",
     "labels_of_splits": _base("select frame_label as label, count(frame_label) as support, min(instance_id) as first_instance, max(instance_id) as last_instance from train group by frame_label"),
     "known_labels": _base("select frame_label as label, count(frame_label) as support from train group by frame_label"),
     "lemma_groups": _base("select lu_lemma, count(*) as numel from train group by lu_lemma having count(*) >= 5"),
@@ -170,13 +175,15 @@ SQL: dict[str, str] = {
           from assignments_ a join clusters_ c on c.id = a.clusterid group by clusterid) group by transitive_label"""),
     "merged_clusters": _base("select 1 as clusteringid, transitive_label, bool_or(isknown) as isknown, cast(sum(numelems) as bigint) as numelems, count(*) as n_parts from clusters_ group by transitive_label"),
     "usable_clusters": _base("select id as label, isknown, numelems from clusters_ where isknown or numelems between 2 and 10"),
-    "instance_assignments": _base("""
+    "instance_assignments": _base(f"""
         select s.instance_id, d.name as dataset_name, n.name as datasetsplit_name, s.split, c.id as clusterlabel, c.transitive_label as tclusterlabel, 'localglobal' as clusteringtype, f.global_id
-        from splits_ s join frameinstances f on s.instance_id = f.id join datasetsplits n on n.id = s.datasetsplit_id join datasets d on d.id = f.dataset_id
+        from splits_ s join {_I} f on s.instance_id = f.id join datasetsplits n on n.id = s.datasetsplit_id join datasets d on d.id = f.dataset_id
         join assignments_ a on a.instanceid = f.id join clusters_ c on c.id = a.clusterid where s.datasetsplit_id = 1"""),
     "evaluation_table": _base("select * from evaluation_"),
     "unassigned_instances": _base("select count(*) as n from evaluation_ where cid is null"),
-    "delete_clustering": "select 'clusters' as what, cast(0 as bigint) as n union all select 'assignments', cast(0 as bigint)",
+    "delete_clustering": f"""
+        select '2::' || frame_label as id, 2 as clusteringid, frame_label as label, count(*) as numelems, count(id) as n_assignments
+        from {_I} where frame_label is not null group by frame_label""",
     "scored_clusterings": f"with {_CLUSTERINGS} select cid, micro_f1__novelty_frame, clusterer, type, local_clusterer, datasetsplit, numclusters, numclusters_local, duration, local_cid from scored",
     "scores_for_test_splits": f"with {_CLUSTERINGS} select cid, micro_f1__novelty_frame from scored where datasetsplit = 'salsa2.0-default' and list_has_all(testsplits, ['test']) and list_has_all(['test'], testsplits)",
     "experiment_scores_view": f"""with {_CLUSTERINGS}
@@ -184,9 +191,9 @@ SQL: dict[str, str] = {
         from (select distinct experiment_id, experiment_run_id, clustering_id, status from experiment_scores where experiment_id is not null) r
         join (select experiment_id, min(name) as name from experiment_scores group by 1) n using (experiment_id) join scored s on s.cid = r.clustering_id""",
     "sentence_matches": "select id, global_id from frameinstances where dataset_id = 2 and array_to_string(list_transform(extrainfo.tokens, lambda t: coalesce(lower(t), '*')), ' ') like '%director%the%near%'",
-    "differs_from_any": """
+    "differs_from_any": f"""
         select split, count(*) filter (split <> any(['test'])) as n_one, count(*) filter (split <> any(['test', 'dev'])) as n_two, count(*) filter (split = any(['test', 'dev'])) as n_any
-        from (select distinct * from split_instances) group by split""",
+        from {_S} group by split""",
     "lockstep_unnest": """
         select id, count(*) as n, count(token) as n_tokens, count(target) as n_targets
         from (select id, unnest(extrainfo.tokens) as token, unnest(extrainfo.lu_index) as target from frameinstances where extrainfo.tokens is not null) group by id""",
@@ -216,7 +223,7 @@ SQL: dict[str, str] = {
         ), x as (select key, generate_subscripts(v, 1) - 1 as i, unnest(list_transform(v, lambda y: y / {_norm('v')})) as x from w)
         select key, i, round(x, 6) as x from x""",
     "blended_vectors": f"""with {_VECTORS}, w as (
-          select key, list_transform(list_zip(u.e, m.e), lambda z: 0.3 * z[1] + (1 - 0.3) * z[2]) as v from u join m using (key)
+          select key, list_transform(list_zip(u.e, m.e), lambda z: (1 - 0.3) * z[1] + 0.3 * z[2]) as v from u join m using (key)
         )
         select key, len(v) as dims, round({_norm('v')}, 6) as length from w""",
     "cosine_to_masked": f"with {_VECTORS} select key, round(list_dot_product(u.e, m.e) / ({_norm('u.e')} * {_norm('m.e')}), 6) as cosine from u join m using (key)",
@@ -225,7 +232,7 @@ SQL: dict[str, str] = {
           select e.vec_id, u.label, list_dot_product(cast(e.embedding as double[]), u.c) / {_norm('cast(e.embedding as double[])')} as s from embeddings e, unit u
         )
         select vec_id, cast(label as bigint) as label, round(s, 6) as cosine from d qualify row_number() over (partition by vec_id order by s desc, label) = 1""",
-    "similar_pairs_of_lemma": f"""with {_VECTORS}, r as (select key, lu_lemma, e, {_norm('e')} as l from u join frameinstances f on f.id = u.key where lu_lemma is not null)
+    "similar_pairs_of_lemma": f"""with {_VECTORS}, r as (select key, lu_lemma, e, {_norm('e')} as l from u join {_I} f on f.id = u.key where lu_lemma is not null)
         select a.lu_lemma, a.key as a, b.key as b, round(list_dot_product(a.e, b.e) / (a.l * b.l), 6) as cosine
         from r a join r b on a.lu_lemma = b.lu_lemma and a.key < b.key where list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.9""",
     "silhouettes": f"""
@@ -254,13 +261,13 @@ SQL: dict[str, str] = {
         select try_cast(json_extract_string(setting, '$.alpha') as double) as alpha, try_cast(json_extract_string(setting, '$.seed') as int) as seed, count(*) as n,
           round(avg(case when isnan(micro_f1__novelty_frame) then null else micro_f1__novelty_frame end), 9) as mean
         from experiment_scores where setting is not null group by 1, 2""",
-    "label_set_operations": """
-        with s as (select distinct s.split, s.instance_id, f.frame_label from split_instances s join frameinstances f on f.id = s.instance_id where datasetsplit_id = 1 and frame_label is not null),
+    "label_set_operations": f"""
+        with s as (select distinct s.split, s.instance_id, f.frame_label from {_S} s join {_I} f on f.id = s.instance_id where datasetsplit_id = 1 and frame_label is not null),
         a as (select frame_label from s where split = 'train'), b as (select frame_label from s where split = 'test')
         select frame_label, 'union' as part from (select * from a union select * from b) union all select frame_label, 'both' from (select * from a intersect select * from b)
         union all select distinct frame_label, 'except_all' from (select * from a except all select * from b) union all select frame_label, 'test_only' from (select * from b except select * from a)""",
-    "development_stats": """
-        with units as (select count(distinct id) as n from frameinstances where lu_lemma is not null and frame_label is not null group by lu_lemma, frame_label)
+    "development_stats": f"""
+        with units as (select count(distinct id) as n from {_I} where lu_lemma is not null and frame_label is not null group by lu_lemma, frame_label)
         select cast(sum(n) as bigint) as n, count(*) as n_units, cast(sum(n * (n - 1) / 2) as bigint) as n_pairs from units""",
     "corpus_without_proto_frames": f"""
         select i, frame_id, split, case when split = 'train' then 'F' || frame_id end as fixed_label,
@@ -273,14 +280,14 @@ SQL: dict[str, str] = {
         from r""",
     "alternative_split": "select i, data_source, case data_source when 'SALSA2-ADD' then 'dev' when 'SALSA2-WEB' then 'test' else 'train' end as split from salsa",
     "import_new_instances": f"select id, global_id from {_IMPORTED} where global_id not in (select global_id from frameinstances where dataset_id = 1 and global_id is not null)",
-    "update_instances": """
-        select global_id, coalesce(arg_max_null(frame_label, id), arg_min_null(frame_label, id)) as frame_label, max(id) as id from frameinstances group by global_id""",
+    "update_instances": f"""
+        select global_id, coalesce(arg_max_null(frame_label, id), arg_min_null(frame_label, id)) as frame_label, max(id) as id from {_I} group by global_id""",
     "missing_vectors": f"with {_VECTORS} select id as key from frameinstances where id not in (select key from u)",
     "copied_vectors": f"""with {_VECTORS}
         select t.id as key, round({_norm('arg_min(m.e, m.key)')}, 5) as length from m join frameinstances s on s.id = m.key join {_IMPORTED} t using (global_id) group by t.id""",
     "instances_with_vectors": f"with {_VECTORS} select f.id as key, f.global_id, len(u.e) as dim_unmasked, len(m.e) as dim_masked from frameinstances f left join u on u.key = f.id left join m on m.key = f.id",
     "table_fingerprint": f"""
-        with d as (select md5(concat_ws('|', {", ".join(f"length(cast({c} as varchar)) || ':' || cast({c} as varchar)" for c in ("datasetsplit_id", "instance_id", "split"))})) as d from (select distinct * from split_instances)),
+        with d as (select md5(concat_ws('|', {", ".join(f"length(cast({c} as varchar)) || ':' || cast({c} as varchar)" for c in ("datasetsplit_id", "instance_id", "split"))})) as d from {_S}),
         s as (select count(*) as n, {", ".join(f"cast(sum(cast(cast('0x' || substr(d, {8 * i + 1}, 8) as ubigint) as hugeint)) as varchar) as w{i}" for i in range(4))} from d),
         m as (select n, md5(concat_ws(',', n, w0, w1, w2, w3)) as h from s)
         select n, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12)) as fingerprint from m""",

@@ -136,9 +136,10 @@ def unassigned_instances(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def delete_clustering(spark: SparkSession, folder: str) -> DataFrame:
-    """What is left of assignments and clusters after their clustering went: counts."""
-    _, _, clusters, kept = views.delete_clustering(1, tables.clustering(spark), tables.clusters(spark, folder), tables.assignments(spark, folder))
-    return clusters.agg(F.count("*").alias("n")).select(F.lit("clusters").alias("what"), "n").union(kept.agg(F.count("*").alias("n")).select(F.lit("assignments"), "n"))
+    """Clusters and assignments that are left, cluster by cluster, after the first of two clusterings went."""
+    _, _, clusters, kept = views.delete_clustering(1, *tables.two_clusterings(spark, folder))
+    n = kept.groupBy(F.col("clusterid").alias("id")).agg(F.count("*").alias("n_assignments"))
+    return clusters.join(n, "id", "left").select("id", "clusteringid", "label", "numelems", "n_assignments")
 
 
 @query
@@ -352,7 +353,7 @@ def table_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def group_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return fingerprints.group_fingerprints(table(spark, folder, "frameinstances"), "dataset_id", ["global_id", "lu_lemma", "frame_label"])
+    return fingerprints.group_fingerprints(tables.instances(spark, folder), "dataset_id", ["global_id", "lu_lemma", "frame_label"])
 
 
 @query

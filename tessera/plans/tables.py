@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import UNKNOWN
+from tessera.functions.text import UNKNOWN, fold
 from tessera.functions.vectors import is_zero
 from tessera.storage import table
 
@@ -19,12 +19,14 @@ def vectors(spark: SparkSession, folder: str, masking: str) -> DataFrame:
 
 
 def instances(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "frameinstances").select("id", "dataset_id", "lu_lemma", "frame_label", "global_id")
+    """Instances with folded lemma and label; a blank one is null."""
+    named = {c: F.nullif(fold(c), F.lit("")).alias(c) for c in ("lu_lemma", "frame_label")}
+    return table(spark, folder, "frameinstances").select("id", "dataset_id", named["lu_lemma"], named["frame_label"], "global_id")
 
 
 def splits(spark: SparkSession, folder: str) -> DataFrame:
-    """Bridge rows without repetition."""
-    return table(spark, folder, "split_instances").distinct()
+    """Bridge rows with folded split, without repetition."""
+    return table(spark, folder, "split_instances").select("datasetsplit_id", "instance_id", fold("split").alias("split")).distinct()
 
 
 def clusters(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,6 +46,17 @@ def clustering(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, 1, ["train", "dev", "test"], ["test"], "localglobal")], "id int, datasetsplit_id long, splits array<string>, testsplits array<string>, type string")
 
 
+def two_clusterings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clusterings, clusters, assignments) with a second clustering beside the first: a cluster for each label, over all lemmas."""
+    named = clustering(spark).union(spark.createDataFrame([(2, 1, ["train", "dev", "test"], ["dev"], "onestep")], clustering(spark).schema))
+    rows = instances(spark, folder).where("frame_label is not null")
+    label = F.col("frame_label")
+    own = rows.groupBy(F.concat(F.lit("2::"), label).alias("id"), label.alias("label")).agg(F.count("*").alias("numelems"))
+    own = own.select("id", F.lit(2).alias("clusteringid"), "label", F.col("label").alias("transitive_label"), (F.col("label") != UNKNOWN).alias("isknown"), "numelems")
+    held = rows.select(F.col("id").alias("instanceid"), F.concat(F.lit("2::"), label).alias("clusterid"), F.lit(None).cast("string").alias("local_cluster_id"))
+    return named, clusters(spark, folder).unionByName(own), assignments(spark, folder).unionByName(held)
+
+
 def clusterings(spark: SparkSession, folder: str) -> DataFrame:
     """Clusterings as the runs report them: every global one, and the local ones they came from."""
     runs = table(spark, folder, "experiment_scores").where("clustering_id is not null")

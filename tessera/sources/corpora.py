@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import UNKNOWN
+from tessera.functions.text import UNKNOWN, fold
 from tessera.storage import materialize
 
 #: Columns of the block format, in order; a block is a sentence with one target, blocks are separated by blank lines.
@@ -55,8 +55,9 @@ def numbered(rows: DataFrame, order: str, name: str = "c") -> DataFrame:
 def prepare_salsa(rows: DataFrame, proto_only_in_train: bool = False) -> DataFrame:
     """Rows without proto frames (all, or only those in training), with ``fixed_label`` in training rows and indexes as integers.
 
-    A null frame is no proto frame; a null split gets no fixed label.
+    The split comes out folded. A null frame is no proto frame; a null split gets no fixed label.
     """
+    rows = rows.withColumn("split", fold("split"))
     proto = F.coalesce(F.col("frame_id").endswith(PROTO), F.lit(False))
     if proto_only_in_train:
         proto = proto & (F.coalesce(F.col("split"), F.lit("")) == "train")

@@ -14,7 +14,7 @@ def pairs(spark):
 def test_vector_expressions(pairs):
     r = {x.id: x for x in pairs.select("id", vectors.dot("a", "b").alias("dot"), vectors.norm("a").alias("norm"), vectors.l2_normalize("a").alias("unit"), vectors.cosine("a", "b").alias("cos"), vectors.mix("a", "b", "0.5").alias("mix"), vectors.blend("a", "b", 0.25).alias("blend"), vectors.add("a", "b").alias("add"), vectors.scale("a", 2).alias("twice"), vectors.cosine_distance("a", "b").alias("far"), vectors.dims("b").alias("dims"), vectors.is_zero("a").alias("zero")).collect()}
     assert r[1].dot == 24 and r[1].norm == 5 and r[1].unit == [0.6, 0.8] and r[1].cos == pytest.approx(0.96) and r[1].add == [7, 7] and r[1].twice == [6, 8]
-    assert np.allclose(r[1].mix, [0.5**0.5] * 2) and r[1].blend == [3.75, 3.25] and r[1].far == pytest.approx(0.04)
+    assert np.allclose(r[1].mix, [0.5**0.5] * 2) and r[1].blend == [3.25, 3.75] and r[1].far == pytest.approx(0.04)
     assert r[2].unit == [0, 0] and r[2].cos is None and r[2].zero and r[1].dims == 2
     assert r[3].dot is None and r[3].unit is None
     assert pairs.select(vectors.constant(0.5, 3).alias("c")).first().c == [0.5] * 3
