@@ -1,12 +1,17 @@
 """Same or near-same records across splits.
 
-Method: bit fingerprints. Every text has a 128-bit similarity hash of its tokens; blocks of its code are joined
-across splits, pairs within a Hamming radius are kept, and their token edit distance is verified.
+Method: bit fingerprints. Every text has a fingerprint of 128 bits and an ordered code of its tokens. Segments of the code are joined
+across splits as blocks; of the texts that meet in a block those within a Hamming radius of each other are kept, and their
+token edit distance is verified. Overlaps are counted by split and source.
 
-The blocks are cut from the sequence of token codes and not from the similarity hash. At the allowed edits (a fifth of
-the tokens) two hashes differ in a fifth of their bits, so that blocks of the hash that are long enough to tell
-texts apart agree too rarely: 64 tables of 18 of its bits would miss 6 of 100 such pairs. Blocks of tokens miss none:
-k edits leave one of k + 1 segments of the longer text whole, so the shorter one holds every run of three tokens of it.
+Both steps before the verification are exact, not likely: with at most k edits,
+
+* a bit of the fingerprint is the parity of the tokens (with their number of occurrence) that fall on it, so that an insertion or deletion turns one bit and
+  a replacement two: the radius is 2k, less the difference in length;
+* an edit touches at most three of a text's segments of three tokens, so that two such texts share all but 3k of the longer one's. The rarest 3k + 1
+  segments of either, in one order for all texts, then have one in common; more frequent ones, boilerplate above all, are not joined at all.
+
+Blocks of a similarity hash by the signs of token sums would not do: see the README for how many pairs they miss.
 """
 
 from __future__ import annotations
@@ -19,13 +24,12 @@ from pyspark.sql import functions as F
 
 from tessera.storage import materialize
 
-#: Tokens of a block.
+#: Tokens of a segment.
 RUN = 3
-#: Bits by which two hashes may differ. A fifth of the tokens changed gives 26 on average with a standard deviation of 4.5,
-#: so this is beyond it by almost six of them.
-RADIUS = 52
-#: Texts from which the frequency of blocks is estimated; it guides the choice of blocks and not what is found.
-FREQUENCY_ROWS = 20_000
+#: Texts from which the frequency of segments is estimated, at most; it guides the choice of blocks and not what is found.
+FREQUENCY_ROWS = 65_536
+#: Expected rows of one block in a task; a more frequent block is divided.
+BLOCK_ROWS = 50_000
 EDITS = 5  # one edit for each so many tokens of the longer text
 
 
@@ -60,13 +64,11 @@ def edit_distance(a: list, b: list) -> int:
     return score
 
 
-def _codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """128 signs for each different token as bits, the token codes, and the position of each token among them."""
+def _codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit code for each different token, and the position of each token among them."""
     d = words.dictionary_encode()
     different = d.dictionary.to_pylist()
-    raw = b"".join(xxhash.xxh3_128_digest(w) for w in different)
-    both = np.frombuffer(raw, "u1").reshape(len(different), 16) if different else np.zeros((0, 16), "u1")
-    return np.unpackbits(both, axis=1).astype("i1") * 2 - 1, both[:, :8].copy().view("<u8").ravel(), d.indices.to_numpy(zero_copy_only=False)
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in different), "u8", len(different)), d.indices.to_numpy(zero_copy_only=False)
 
 
 def _runs(code: np.ndarray) -> np.ndarray:
@@ -77,32 +79,39 @@ def _runs(code: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
 
 
-def fingerprints(texts: DataFrame) -> DataFrame:
-    """``tid, n, s1, s2``: length in tokens and similarity hash of ``tid, toks``."""
+def _parity(code: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """128 bits for each row as two longs: each is the parity of the row's tokens that fall on it, the second occurrence of a token being another token."""
+    order = np.lexsort((code, row))
+    c, r = code[order], row[order]
+    new = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (r[1:] != r[:-1])]) if len(c) else np.zeros(0, int)
+    again = np.arange(len(c)) - np.repeat(new, np.diff(np.r_[new, len(c)]))
+    with np.errstate(over="ignore"):
+        x = (c + again.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    bit = ((x >> np.uint64(57)) & np.uint64(127)).astype("i8")
+    odd = np.bincount(r * 128 + bit, minlength=rows * 128).reshape(rows, 128) & 1
+    return np.packbits(odd.astype("u1"), axis=1).copy().view("<i8")
 
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            if not batch.num_rows:
-                continue
-            n = lists.value_lengths().to_numpy(zero_copy_only=False)
-            signs, _, at = _codes(lists.flatten())
-            start = np.r_[0, np.cumsum(n)[:-1]]
-            sums = np.add.reduceat(signs[at].astype("i2"), start, axis=0)
-            bits = np.packbits(sums > 0, axis=1).copy().view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype("i4")), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], names=["tid", "n", "s1", "s2"])
 
-    return texts.where("size(toks) > 0").select("tid", "toks").mapInArrow(run, "tid long, n int, s1 long, s2 long")
+def fewest_shared(n: np.ndarray) -> np.ndarray:
+    """Segments at least shared by a text of n tokens and any as long or longer within the allowed edits; of six tokens or more it is never none.
+
+    A text of L tokens has L - 2 segments, of which L // 5 edits touch three each. That falls at every multiple of five only, so it is least
+    for L = n or for the next multiple of five, where a text that long is within reach.
+    """
+    here = n - RUN + 1 - RUN * (n // EDITS)
+    fives = -(-n // EDITS)
+    return np.where((EDITS - 1) * fives <= n, np.minimum(here, EDITS * fives - RUN + 1 - RUN * fives), here)
 
 
 def _frequent(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks that several texts of a bounded sample share, sorted, and in how many."""
-    chosen = texts.where(F.pmod("tid", F.lit(1_000_000)) < int(1_000_000 * min(1.0, FREQUENCY_ROWS / max(rows, 1))) + 1).select("toks").limit(2 * FREQUENCY_ROWS)
+    """Segments that several texts of a bounded sample share, sorted, and the share of texts that have them."""
+    part = min(1.0, FREQUENCY_ROWS / max(rows, 1))
+    chosen = texts.where(F.pmod(F.xxhash64(F.lit(3), "tid"), F.lit(1_000_000)) < int(1_000_000 * part) + 1).select("toks").limit(2 * FREQUENCY_ROWS)
 
     def run(batches):
         for batch in batches:
             lists = batch.column(0)
-            _, codes, at = _codes(lists.flatten())
+            codes, at = _codes(lists.flatten())
             if len(at) >= RUN:
                 n = lists.value_lengths().to_numpy(zero_copy_only=False)
                 inside = _places(n)[: len(at) - 2] < np.repeat(n, n)[: len(at) - 2] - 2
@@ -110,18 +119,17 @@ def _frequent(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
     counts = chosen.mapInArrow(run, "run long").groupBy("run").count().where("count > 2").toArrow()
     order = np.argsort(run_codes := counts.column("run").to_numpy().view("u8"))
-    return run_codes[order], counts.column("count").to_numpy()[order]
+    return run_codes[order], counts.column("count").to_numpy()[order] / max(1.0, part * rows)
 
 
 def _places(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def blocks(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``side, block, tid, n, at``: side 0 the blocks a text is found by as the longer one, side 1 all its runs.
+def blocks(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], rows: int, copies: bool) -> DataFrame:
+    """``block, part, tid, n, at, s1, s2``: the blocks a text is found by, with where they begin in it and its fingerprint.
 
-    A longer text has a block in each of its k + 1 segments: of the runs in a segment the rarest. Texts of both kinds
-    (``train``, ``other``) meet in one join: blocks for the longer text in train are kept apart from those for the longer in the other.
+    A block that is expected in more than ``BLOCK_ROWS`` texts is divided into parts: one side sends a row to one of them, the other (``copies``) to all.
     """
     known, often = frequent
 
@@ -131,66 +139,65 @@ def blocks(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFra
             n = lists.value_lengths().to_numpy(zero_copy_only=False).astype("i8")
             if not n.sum():
                 continue
-            _, codes, at = _codes(lists.flatten())
+            codes, at = _codes(lists.flatten())
             place, row = _places(n), np.repeat(np.arange(len(n)), n)
+            prints = _parity(codes[at], row, len(n))
             runs = np.zeros(len(at), "u8")
             runs[: max(0, len(at) - 2)] = _runs(codes[at])
             whole = place + RUN <= n[row]
             runs, place, row = runs[whole], place[whole], row[whole]
             hit = np.searchsorted(known, runs).clip(0, max(0, len(known) - 1))
-            count = np.where(known[hit] == runs, often[hit], 0) if len(known) else np.zeros(len(runs), int)
-            # segment of each run: k + 1 segments of even length; a run across a border is in none
-            segments = n // EDITS + 1
-            seg = (place * segments[row]) // n[row]
-            inside = ((place + RUN - 1) * segments[row]) // n[row] == seg
-            pick = np.flatnonzero(inside)
-            order = pick[np.lexsort((place[pick], count[pick], seg[pick], row[pick]))]
-            first = np.r_[True, (row[order][1:] != row[order][:-1]) | (seg[order][1:] != seg[order][:-1])] if len(order) else np.zeros(0, bool)
-            chosen = order[first]
+            share = np.where(known[hit] == runs, often[hit], 0.0) if len(known) else np.zeros(len(runs))
+            # the rarest of a text, in an order that is the same for all texts
+            order = np.lexsort((place, runs, share, row))
+            has = np.bincount(row, minlength=len(n))
+            rank = np.arange(len(order)) - np.repeat(np.cumsum(has) - has, has)
+            order = order[rank <= (n - RUN + 1 - np.maximum(1, fewest_shared(n)))[row[order]]]
             tid = batch.column("tid").to_numpy()
-            train, other = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("train", "other"))
-            out = []
-            for side, r, flag, salt in ((0, chosen, train, 0), (0, chosen, other, 1), (1, np.arange(len(runs)), other, 0), (1, np.arange(len(runs)), train, 1)):
-                r = r[flag[row[r]]]
-                out.append((np.full(len(r), side, "i4"), (runs[r] ^ np.uint64(salt * 0x5851F42D4C957F2D)).view("i8"), tid[row[r]], n[row[r]].astype("i4"), place[r].astype("i4")))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["side", "block", "tid", "n", "at"])
+            parts = 1 + (share[order] * rows / BLOCK_ROWS).astype("i8")
+            if copies:
+                order, part = np.repeat(order, parts), np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            else:
+                part = tid[row[order]] % parts
+            r = row[order]
+            columns = (runs[order].view("i8"), part.astype("i4"), tid[r], n[r].astype("i4"), place[order].astype("i4"), prints[r, 0], prints[r, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "part", "tid", "n", "at", "s1", "s2"])
 
-    return texts.select("tid", "toks", "train", "other").mapInArrow(run, "side int, block long, tid long, n int, at int")
+    return texts.select("tid", "toks").mapInArrow(run, "block long, part int, tid long, n int, at int, s1 long, s2 long")
 
 
 def near_texts(texts: DataFrame, min_tokens: int = 8) -> DataFrame:
     """``a, b, distance``: all pairs of different texts, one in train and one in another split, within the allowed edits.
 
-    ``texts`` is ``tid, toks, train, other``, each text once. The distance may be at most a fifth of the longer one's tokens.
+    ``texts`` is ``tid, toks, train, other``, each text once. The distance may be at most a fifth of the longer one's tokens. Texts of
+    fewer than six tokens have no segment that is sure to be shared; they are left out here and only found where they are equal.
     """
-    texts = texts.where(F.size("toks") >= min_tokens)
+    texts = texts.where(F.size("toks") >= max(min_tokens, 2 * RUN))
     rows = texts.count()
     frequent = _frequent(texts, rows)
-    signed = materialize(blocks(texts, frequent), "blocks")
-    longer = signed.where("side = 0").select("block", F.col("tid").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    shorter = signed.where("side = 1").select("block", F.col("tid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
-    k = F.floor(F.col("na") / EDITS)
-    fits = (F.col("a") != F.col("b")) & (F.col("nb") <= F.col("na")) & (F.col("na") - F.col("nb") <= k) & (F.abs(F.col("pa") - F.col("pb")) <= k)
-    pairs = longer.join(shorter, "block").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    codes = fingerprints(texts).join(texts.select("tid", F.concat_ws(" ", "toks").alias("text")), "tid")
-    for side in ("a", "b"):
-        pairs = pairs.join(codes.select(F.col("tid").alias(side), *[F.col(c).alias(c + side) for c in ("s1", "s2", "text")]), side)
+    name = lambda df, x: df.withColumnsRenamed({c: c + x for c in ("tid", "n", "at", "s1", "s2")})
+    left = name(blocks(texts.where("train"), frequent, rows, False), "a")
+    right = name(blocks(texts.where("other"), frequent, rows, True), "b")
+    k = F.floor(F.greatest("na", "nb") / EDITS)
+    apart = F.abs(F.col("na") - F.col("nb"))
     differ = F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b"))) + F.bit_count(F.col("s2a").bitwiseXOR(F.col("s2b")))
-    close = pairs.where(differ <= RADIUS).select("a", "b", "texta", "textb")
+    near = (F.col("tida") != F.col("tidb")) & (apart <= k) & (F.abs(F.col("ata") - F.col("atb")) <= k) & (differ <= 2 * k - apart)
+    pairs = left.join(right, ["block", "part"]).where(near).select(F.col("tida").alias("a"), F.col("tidb").alias("b")).distinct()
+    # the texts themselves come in only for what is left
+    pairs = materialize(pairs, "near")
+    held = texts.select("tid", "toks")
+    close = pairs.join(held.withColumnsRenamed({"tid": "a", "toks": "x"}), "a").join(held.withColumnsRenamed({"tid": "b", "toks": "y"}), "b").select("a", "b", "x", "y")
 
     def verify(batches):
         for batch in batches:
-            keep, dist = [], []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                x, y = x.split(" "), y.split(" ")
-                d = edit_distance(x, y)
-                if d * EDITS <= max(len(x), len(y)):
-                    keep.append(i)
-                    dist.append(d)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(dist, pa.int32())], names=["a", "b", "distance"])
-
-    return close.mapInArrow(verify, "a long, b long, distance int")
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            d = np.array([edit_distance(p, q) for p, q in zip(x, y)], "i4")
+            keep = pa.array(d * EDITS <= np.array([max(len(p), len(q)) for p, q in zip(x, y)], "i4"))
+            columns = (pa.array(np.minimum(*(batch.column(c).to_numpy() for c in (0, 1)))), pa.array(np.maximum(*(batch.column(c).to_numpy() for c in (0, 1)))), pa.array(d))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["a", "b", "distance"])
+
+    # a pair of texts that both are in both kinds of split is found from either side
+    return close.mapInArrow(verify, "a long, b long, distance int").distinct()
 
 
 class Overlaps:

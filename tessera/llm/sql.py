@@ -22,7 +22,45 @@ _VECTORS = """
     ),
     n as (select key, e, sqrt(list_dot_product(e, e)) as l from v)"""
 
+# sentences as bags of tokens first: those that differ in more than a fifth of them can't be within the allowed edits; of the others the
+# matrix of edit distances is filled cell by cell
+_P5 = rf"""
+    with recursive raw as (
+      select {_FOLD.format("global_sentence_id")} as id, tokenized_sentence as t, {_FOLD.format("data_source")} as source, instance_id from salsa where global_sentence_id is not null
+    ), splits_ as (
+      select instance_id, max({_FOLD.format("split")}) as split from split_instances where datasetsplit_id = 1 group by instance_id
+    ), sentence as (
+      select r.id, max(t) as t, max(s.split) as split from raw r left join splits_ s using (instance_id) group by r.id having max(s.split) in ('train', 'dev', 'test')
+    ), toks as (
+      select id, split, list_filter(regexp_split_to_array(replace(replace(replace(replace(lower(coalesce(t, '')), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[\s\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')) as w from sentence
+    ), long as (select id, split, w, len(w) as n from toks where len(w) >= 8),
+    texts as (select w, any_value(n) as n, row_number() over (order by w) as x, bool_or(split = 'train') as a, bool_or(split <> 'train') as b from long group by w),
+    bag as (
+      select x, a, b, n, word, row_number() over (partition by x, word) as nth from (select x, a, b, n, unnest(w) as word from texts)
+    ), shared as (
+      select p.x as x, q.x as y, any_value(greatest(p.n, q.n)) as m, count(*) as c from bag p join bag q on p.word = q.word and p.nth = q.nth
+      where p.a and q.b and p.x <> q.x and abs(p.n - q.n) * 5 <= greatest(p.n, q.n) group by p.x, q.x
+    ), close as (
+      select s.x, s.y, p.w as v, q.w as w, m from shared s join texts p on p.x = s.x join texts q on q.x = s.y where (m - c) * 5 <= m
+    ), cells as (
+      select x, y, v, w, m, 1 as i, 1 as j, range(0, len(w) + 1) as above, [cast(1 as bigint)] as line from close
+      union all
+      select x, y, v, w, m, case when j = len(w) then i + 1 else i end, case when j = len(w) then 1 else j + 1 end,
+        case when j = len(w) then line || [least(above[j + 1] + 1, line[j] + 1, above[j] + case when v[i] = w[j] then 0 else 1 end)] else above end,
+        case when j = len(w) then [cast(i + 1 as bigint)] else line || [least(above[j + 1] + 1, line[j] + 1, above[j] + case when v[i] = w[j] then 0 else 1 end)] end
+      from cells where i <= len(v)
+    ), linked as (
+      select x, y from cells where i > len(v) and above[len(w) + 1] * 5 <= m union all select x, x from texts where a and b
+    ), pairs as (
+      select p.id as train_id, q.id as other_id, l.x = l.y as exact from linked l join texts t on t.x = l.x join texts u on u.x = l.y
+      join long p on p.w = t.w and p.split = 'train' join long q on q.w = u.w and q.split <> 'train'
+    )"""
+
 SQL: dict[str, str] = {
+    "p5_found": _P5 + " select distinct least(train_id, other_id) as sentence_a, greatest(train_id, other_id) as sentence_b from pairs",
+    "p5_report": _P5 + """, named as (select distinct id, source from raw where source is not null), found as (select other_id as id, bool_or(exact) as exact from pairs group by 1)
+        select split, source, count(*) as n_records, count(exact) as n_overlapping, count(*) filter (exact) as n_exact
+        from long left join named using (id) left join found using (id) where split <> 'train' group by split, source""",
     # a set in which all belong together and none to a key outside: all members have the same neighbours, themselves included
     "p1_found": f"""
         with {_VECTORS},

@@ -174,6 +174,52 @@ def test_overlaps_of_empty_and_copied_texts(spark):
     assert model.report().collect()[0].n_exact == 20
 
 
+def test_segments_shared_at_least():
+    """Against trying all lengths within reach."""
+    for n in range(6, 400):
+        want = min(m - 2 - 3 * (m // 5) for m in range(n, 2 * n) if m - m // 5 <= n)
+        assert int(split_overlap.fewest_shared(np.array([n]))[0]) == want >= 1
+
+
+def test_fingerprints_differ_by_two_bits_an_edit_at_most():
+    """Also where a word recurs, so that an edit of it counts like any other."""
+    rng = random.Random(8)
+    for _ in range(300):
+        a = [rng.choice("abcdefgh" if rng.random() < 0.5 else "xx") for _ in range(rng.randint(1, 60))]
+        b = list(a)
+        for _ in range(rng.randint(0, 9)):
+            b[(at := rng.randrange(len(b) + 1)) : at + rng.randint(0, 1)] = [rng.choice("abcxyz")] * rng.randint(0, 1)
+        code, row = np.array([ord(c) for c in a + b], "u8") * np.uint64(0x9E3779B97F4A7C15), np.repeat([0, 1], [len(a), len(b)])
+        x, y = split_overlap._parity(code, row, 2)
+        assert sum(int(v).bit_count() for v in (x ^ y).view("u8")) <= 2 * distance(a, b) - abs(len(a) - len(b))
+
+
+def test_divided_blocks_lose_no_pair(spark, sentences):
+    """A block in every text, and frequent blocks divided among tasks."""
+    rows = [(i, f"all of these begin alike {t}" if t else t, *rest) for i, t, *rest in sentences]
+    want = {tuple(r) for r in split_overlap.Overlaps(spark.createDataFrame(rows, RECORDS)).pairs().collect()}
+    old, split_overlap.BLOCK_ROWS = split_overlap.BLOCK_ROWS, 10
+    try:
+        assert {tuple(r) for r in split_overlap.Overlaps(spark.createDataFrame(rows, RECORDS)).pairs().collect()} == want
+    finally:
+        split_overlap.BLOCK_ROWS = old
+    assert want
+
+
+def test_blocks_of_signs_would_miss_pairs():
+    """Why blocks are not cut from a similarity hash of signs: of texts with a fifth of their tokens replaced, 64 blocks of 18 of its bits miss a third."""
+    rng = np.random.default_rng(0)
+    missed = tried = 0
+    for _ in range(400):
+        n = int(rng.integers(10, 41))
+        signs = rng.integers(0, 2, (n + n // 5, 128)) * 2 - 1
+        a, b = signs[:n].sum(0) > 0, signs[n // 5 :].sum(0) > 0
+        tables = np.array([rng.choice(128, 18, replace=False) for _ in range(64)])
+        missed += not (a == b)[tables].all(1).any()
+        tried += 1
+    assert 0.25 < missed / tried < 0.5
+
+
 SPLIT_ROWS = "c string, label string, old string, comp string, n long"
 
 
