@@ -34,11 +34,13 @@ EDITS = 5  # one edit for each so many tokens of the longer text
 
 
 def tokens(text: Column) -> Column:
-    """Tokens at white space, lower case, umlauts and ß written out, without those that have no letter or digit; of null, none."""
+    """Tokens at white space, lower case, umlauts and ß written out, without those that have no letter or digit; of null or blank text one empty token."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return F.filter(F.split(t, r"(?U)\s+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    for x, y in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
+        t = F.replace(t, F.lit(x), F.lit(y))
+    # whole words of other characters go in one pass over the text, and not by a test of each token
+    t = F.regexp_replace(t, r"(?U)(?<!\S)[^\p{L}\p{N}\s]+(?!\S)", "")
+    return F.split(F.regexp_replace(t, r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -211,10 +213,10 @@ class Overlaps:
     def __init__(self, records: DataFrame, train: str = "train", others: tuple[str, ...] = ("dev", "test"), min_tokens: int = 8):
         kept = records.where("id is not null and text is not null").where(F.col("split").isin(train, *others))
         one = kept.groupBy("id").agg(F.max("text").alias("text"), F.max("split").alias("split"), F.array_sort(F.collect_set("source")).alias("sources"))
-        one = one.withColumn("toks", tokens(F.col("text"))).where(F.size("toks") >= min_tokens).drop("text")
+        # short texts are left out after the writing: before it their tokens would be made twice
+        one = materialize(one.select("id", "split", "sources", tokens(F.col("text")).alias("toks")), "records")
         # texts are numbered by a 64-bit hash of all their tokens
-        one = one.withColumn("tid", F.xxhash64("toks"))
-        self.members = materialize(one, "records")
+        self.members = one.where(F.size("toks") >= min_tokens).withColumn("tid", F.xxhash64("toks"))
         texts = self.members.groupBy("tid").agg(F.first("toks").alias("toks"), F.bool_or(F.col("split") == train).alias("train"), F.bool_or(F.col("split") != train).alias("other"))
         self.texts = materialize(texts, "texts")
         near = near_texts(self.texts, min_tokens)
