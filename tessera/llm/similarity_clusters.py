@@ -21,7 +21,7 @@ from tessera.storage import materialize
 WHOLE_ROWS = 4096
 #: At most so many groups are listed as large, so that the list is at most 8 MB.
 MAX_LARGE = 1_000_000
-#: Edges of one tree that a task condenses; a larger tree has its tightest edges contracted first.
+#: Edges of one tree that a task condenses; a larger tree is divided, with the same result.
 TASK_EDGES = 1_000_000
 #: Members of one block when a cluster is checked pair by pair.
 CHECK_ROWS = 2048
@@ -173,123 +173,200 @@ def _top(i: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
     return order[np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)])) < k]
 
 
-def condense(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, copies: np.ndarray, min_size: int, reach: float, epsilon: float):
-    """Cluster (-1: none), persistence and stability of each of n nodes of one tree.
+def condense(size: list, alive: list, inner: list, forced: list, a: list, b: list, dens: list, min_size: float, epsilon: float):
+    """The condensed hierarchy of one tree, the birth of its root left open (0).
 
-    Density is the inverse of the distance 1 - w. A node leaves the cluster it is in at the density at
-    which its part falls under ``min_size`` records; its persistence is that density less the density at
-    which its cluster began. Stability sums the persistence of a cluster's records; from the leaves up, a
-    cluster is preferred to its parts where it is at least as stable as they together, and parts that begin at a
-    distance below ``epsilon`` give way to the cluster that holds them.
+    Leaves are records with copies, or parts of the tree that were condensed before: of each its ``size`` in records, ``alive`` the sum of the
+    densities at which its records leave the cluster that holds them all, ``inner`` the stability of the best clusters within it (None:
+    there are none), ``forced`` whether those give way to it. Edges ``a, b`` come in descending density ``dens``.
+
+    Density is the inverse of the distance 1 - w. A leaf leaves the cluster it is in at the density at which its part falls under ``min_size``
+    records. Stability sums, over a cluster's records, the density at which they leave less that at which it began; from the leaves up, a
+    cluster is preferred to its parts where it is at least as stable as they together, and parts that begin at a distance below
+    ``epsilon`` give way to the cluster that holds them.
+
+    Of every leaf: its cluster, the density at which it left, whether it is still whole then, and the selected cluster (-1: none below the root); of every
+    cluster: birth and stability; of the root: stability from 0 on, that of the best clusters within it (None: none), whether they give way.
     """
-    order = np.lexsort((v, u, -w))
-    left, right, dens = np.empty(n - 1, int), np.empty(n - 1, int), 1 / np.maximum(1 - w[order], NEAREST)
-    size = np.concatenate([copies, np.zeros(n - 1, copies.dtype)])
-    top, up = list(range(n)), list(range(2 * n - 1))
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for k, e in enumerate(order):
-        a, b = find(u[e]), find(v[e])
-        left[k], right[k] = top[a] if a < n else a, top[b] if b < n else b
-        up[a] = up[b] = n + k
-        size[n + k] = size[left[k]] + size[right[k]]
-    born, parent = [1 / reach], [-1]
-    member, leaves = np.full(n, -1), np.zeros(n)
+    n = len(size)
+    left, right, total, up = [], [], list(size), list(range(2 * n - 1))
+    for k in range(n - 1):
+        ends = []
+        for x in (a[k], b[k]):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            ends.append(x)
+        x, y = ends
+        left.append(x)
+        right.append(y)
+        up[x] = up[y] = n + k
+        total.append(total[x] + total[y])
+    born, parent, own, inside, parts, gives_way = [0.0], [-1], [0.0], [0.0], [None], [False]
+    member, leave, whole = [0] * n, [0.0] * n, [False] * n
     stack = [(2 * n - 2, 0, 0.0)]  # a part, its cluster, and the density at which it fell out, or 0
     while stack:
         node, c, fell = stack.pop()
         if node < n:
-            member[node], leaves[node] = c, fell or 1 / NEAREST
+            member[node], leave[node], whole[node] = c, fell or 1 / NEAREST, not fell
+            inside[c] += size[node]
+            own[c] += size[node] * (fell - born[c]) if fell else alive[node] - size[node] * born[c]
+            if not fell and inner[node] is not None:  # the only leaf that this cluster ends in
+                parts[c], gives_way[c] = inner[node], forced[node]
             continue
-        kids, d = (left[node - n], right[node - n]), dens[node - n]
-        big = [kid for kid in kids if size[kid] >= min_size]
+        d, kids = dens[node - n], (left[node - n], right[node - n])
+        big = [kid for kid in kids if total[kid] >= min_size]
         for kid in kids:
             if fell or kid not in big:
                 stack.append((kid, c, fell or d))
             elif len(big) == 2:
-                born.append(d)
-                parent.append(c)
+                for column, v in ((born, d), (parent, c), (own, 0.0), (inside, 0.0), (parts, None), (gives_way, False)):
+                    column.append(v)
                 stack.append((kid, len(born) - 1, 0.0))
             else:
                 stack.append((kid, c, 0.0))
-    born, parent = np.array(born), np.array(parent)
-    own = np.bincount(member, weights=copies * (leaves - born[member]), minlength=len(born))
-    inside = np.bincount(member, weights=copies, minlength=len(born)).astype(float)
     for c in range(len(born) - 1, 0, -1):
         inside[parent[c]] += inside[c]
-    for c in range(1, len(born)):
         own[parent[c]] += inside[c] * (born[c] - born[parent[c]])
-    best, selected = own.copy(), np.ones(len(born), bool)
-    parts = np.zeros(len(born))
-    has = np.zeros(len(born), bool)
-    for c in range(len(born) - 1, -1, -1):
-        if has[c] and parts[c] > own[c]:
-            best[c], selected[c] = parts[c], False
-        if c:
-            parts[parent[c]] += best[c]
-            has[parent[c]] = True
+    selected = [True] * len(born)
     for c in range(len(born) - 1, 0, -1):
+        best = own[c]
+        if better(parts[c], own[c]):
+            best, selected[c] = parts[c], False
+        parts[parent[c]] = (parts[parent[c]] or 0.0) + best
+    for c in range(len(born) - 1, 0, -1):
+        selected[c] |= gives_way[c]
         if selected[c] and 1 / born[c] < epsilon:
-            selected[c], selected[parent[c]] = False, True
-    label = np.full(len(born), -1)
-    for c in range(len(born)):
-        label[c] = label[parent[c]] if c and label[parent[c]] >= 0 else (c if selected[c] else -1)
-    got = label[member]
-    return got, np.where(got >= 0, leaves - born[np.maximum(got, 0)], 0.0), np.where(got >= 0, own[np.maximum(got, 0)], 0.0)
+            selected[c], gives_way[parent[c]] = False, True
+    label = [-1] * len(born)
+    for c in range(1, len(born)):
+        label[c] = label[parent[c]] if label[parent[c]] >= 0 else (c if selected[c] else -1)
+    return member, leave, whole, label, born, own, parts[0], gives_way[0]
 
 
-def _hierarchies(trees: DataFrame, nodes: DataFrame, parts: int, min_size: int, reach: float, epsilon: float) -> DataFrame:
-    """``rep, cluster, persistence, stability`` for every node of a selected cluster, tree by tree."""
-    both = trees.select("comp", F.col("u").alias("a"), F.col("v").alias("b"), "w").union(nodes.select("comp", F.col("rep").alias("a"), F.lit(None).cast("long"), F.col("copies").cast("double")))
+def better(parts: float | None, own: float) -> bool:
+    """Whether the parts of a cluster are more stable than it; what differs by rounding only is equal."""
+    return parts is not None and parts > own + 1e-9 * abs(own)
 
-    def run(batches):
-        t = pa.Table.from_batches(list(batches), schema=pa.schema([("comp", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())]))
-        comp, a, w = (t.column(c).to_numpy() for c in ("comp", "a", "w"))
-        is_node = t.column("b").is_null().to_numpy()
-        b = t.column("b").fill_null(0).to_numpy()
-        order = np.lexsort((a, is_node, comp))
-        comp, a, b, w, is_node = comp[order], a[order], b[order], w[order], is_node[order]
-        start = np.flatnonzero(np.r_[True, comp[1:] != comp[:-1]]) if len(comp) else np.zeros(0, int)
-        out = []
-        for s, e in zip(start, np.r_[start[1:], len(comp)]):
-            m = s + int((~is_node[s:e]).sum())
-            reps, copies = a[m:e], w[m:e].astype("i8")
-            if m == s:
-                got, kept, stable = (np.zeros(len(reps), int), np.full(len(reps), 1 / NEAREST - 1 / reach), copies * (1 / NEAREST - 1 / reach)) if copies[0] >= min_size else (np.full(len(reps), -1),) * 3
-            else:
-                got, kept, stable = condense(len(reps), np.searchsorted(reps, a[s:m]), np.searchsorted(reps, b[s:m]), w[s:m], copies, min_size, reach, epsilon)
-            for c in np.unique(got[got >= 0]):
-                at = np.flatnonzero(got == c)
-                out.append((reps[at], np.full(len(at), reps[at].min()), kept[at], stable[at]))
-        if out:
-            r, c, k, st = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(c), pa.array(k.astype("f8")), pa.array(st.astype("f8"))], names=["rep", "cluster", "persistence", "stability"])
 
-    return both.repartition(parts, "comp").mapInArrow(run, "rep long, cluster long, persistence double, stability double")
+_EDGE = ("tree", "a", "b", "u", "v", "w")
+_LEAF = ("tree", "leaf", "size", "alive", "inner", "forced")
+_DONE = "kind int, tree long, leaf long, leave double, whole boolean, label long, born double, stability double, size long, alive double, inner double, forced boolean"
 
 
-def _contract(trees: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Trees of more than ``TASK_EDGES`` edges with their tightest edges contracted, so that a task can hold each; third, ``rep, atom``."""
-    sizes = trees.groupBy("comp").agg(F.count("*").alias("n"), F.percentile_approx("w", F.lit(0.0)).alias("lowest")).where(F.col("n") > TASK_EDGES)
+def _condensed(trees: DataFrame, leaves: DataFrame, parts: int, min_size: int, reach: float | None, epsilon: float) -> DataFrame:
+    """Every tree condensed in a task: of each leaf (kind 0) the density at which it left and the selected cluster with its birth and
+    stability, of each tree (kind 1) what it is as a leaf of a larger one.
+
+    With ``reach`` the roots begin there and may be selected. A cluster is called by its smallest leaf.
+    """
+    null = lambda kind: F.lit(None).cast(kind)
+    edges = trees.select(*_EDGE, null("long").alias("size"), null("double").alias("alive"), null("double").alias("inner"), null("boolean").alias("forced"))
+    points = leaves.select("tree", F.col("leaf").alias("a"), null("long").alias("b"), null("long").alias("u"), null("long").alias("v"), null("double").alias("w"), "size", "alive", "inner", "forced")
+    names = [f.split(" ")[0] for f in _DONE.split(", ")]
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches)
+        is_leaf = t.column("b").is_null().to_numpy()
+        points, edges = t.filter(pa.array(is_leaf)), t.filter(pa.array(~is_leaf))
+        points = points.sort_by([("tree", "ascending"), ("a", "ascending")])
+        edges = edges.sort_by([("tree", "ascending"), ("w", "descending"), ("u", "ascending"), ("v", "ascending")])
+        tree, ids = points.column("tree").to_numpy(), points.column("a").to_numpy()
+        of = edges.column("tree").to_numpy()
+        start = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+        stop = np.r_[start[1:], len(tree)]
+        lo, hi = np.searchsorted(of, tree[start], side="left").tolist(), np.searchsorted(of, tree[start], side="right").tolist()
+        dens = (1 / np.maximum(1 - edges.column("w").to_numpy(), NEAREST)).tolist()
+        ends = [edges.column(c).to_numpy() for c in "ab"]
+        size, alive, inner, forced = (points.column(c).to_pylist() for c in ("size", "alive", "inner", "forced"))
+        out: list[list] = [[] for _ in names]
+        for s, e, i, j in zip(start.tolist(), stop.tolist(), lo, hi):
+            own_ids = ids[s:e]
+            a, b = (np.searchsorted(own_ids, x[i:j]).tolist() for x in ends)
+            member, leave, whole, label, born, own, best, gives_way = condense(size[s:e], alive[s:e], inner[s:e], forced[s:e], a, b, dens[i:j], min_size, epsilon)
+            root, records = own[0], sum(size[s:e])
+            if reach is not None and records >= min_size:
+                born[0], own[0] = 1 / reach, root - records / reach
+                if gives_way or not better(best, own[0]):
+                    label = [0] * len(label)
+            own_ids = own_ids.tolist()
+            smallest: dict[int, int] = {}
+            for x, c in zip(own_ids, member):
+                smallest.setdefault(label[c], x)
+            for x, c, d, w in zip(own_ids, member, leave, whole):
+                k = label[c]
+                found = (smallest[k], born[k], own[k]) if k >= 0 else (None, None, None)
+                for column, v in zip(out, (0, int(tree[s]), x, d, w, *found, None, None, None, None)):
+                    column.append(v)
+            if reach is None:
+                for column, v in zip(out, (1, int(tree[s]), None, None, None, None, None, None, records, root, best, gives_way)):
+                    column.append(v)
+            if len(out[0]) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _KINDS)], names=names)
+                out = [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _KINDS)], names=names)
+
+    return edges.union(points).repartition(parts, "tree").mapInArrow(run, _DONE)
+
+
+_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
+
+
+def _cut_trees(big: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Edges of large trees with ``upper``: whether an edge is among the lightest, of which a task holds all, in the order in which trees are condensed.
+
+    The place of the cut is estimated and steers only how the work is divided. Edges of equal weight are told apart by their ends.
+    """
+    wanted = 0.75 * TASK_EDGES
+    grid = [10 ** (i / 100 - 6) for i in range(601)]
+    marked = big.join(sizes.select("tree", F.lit(wanted).alias("want"), F.col("n").alias("among")), "tree").withColumns({"upper": F.lit(False), "tied": F.lit(True)})
+    for key in (F.col("w"), -F.col("u"), -F.col("v")):
+        marked = marked.withColumn("_k", key)
+        part = F.greatest(F.lit(1e-6), F.least(F.lit(1.0), F.max("want") / F.max("among")))
+        cut = marked.where("tied").groupBy("tree").agg(F.percentile_approx("_k", grid, 200_000).alias("q"), part.alias("part"))
+        cut = cut.select("tree", F.get("q", F.floor((F.log10("part") + 6) * 100).cast("int")).alias("cut"))
+        marked = marked.join(cut, "tree").withColumns({"upper": F.col("upper") | (F.col("tied") & (F.col("_k") < F.col("cut"))), "tied": F.col("tied") & (F.col("_k") == F.col("cut"))}).drop("_k", "cut", "want", "among")
+        counts = marked.groupBy("tree").agg((F.lit(wanted) - F.count_if("upper")).alias("want"), F.greatest(F.lit(1), F.count_if("tied")).alias("among"))
+        marked = marked.join(counts, "tree")
+    # at least one edge is in the upper part, so that every round divides the tree
+    return marked.withColumn("upper", F.col("upper") | F.col("tied")).select(*_EDGE, "upper")
+
+
+def _hierarchies(trees: DataFrame, leaves: DataFrame, parts: int, min_size: int, reach: float | None, epsilon: float) -> DataFrame:
+    """:func:`_condensed` for trees of any size.
+
+    Of a tree that no task can hold the lightest edges are set aside; what is left falls into parts, which are condensed by themselves, and then
+    are the leaves of the tree of the lightest edges. What comes out is the same as if one task had condensed the whole.
+    """
+    sizes = trees.groupBy("tree").agg(F.count("*").alias("n")).where(F.col("n") > TASK_EDGES)
     if sizes.isEmpty():
-        return trees, nodes, None
-    big = trees.join(sizes, "comp")
-    # rank by weight in 1/10,000ths: the least weight whose heavier edges leave no more than the task holds
-    steps = big.groupBy("comp", "n", F.floor(F.col("w") * 10_000).alias("step")).count()
-    below = F.sum("count").over(Window.partitionBy("comp").orderBy("step"))
-    cuts = steps.withColumn("below", below).where(F.col("below") <= TASK_EDGES).groupBy("comp").agg(((F.max("step") + 1) / 10_000).alias("cut"))
-    cuts = sizes.join(cuts, "comp", "left").select("comp", F.coalesce("cut", "lowest").alias("cut"))
-    marked = trees.join(cuts, "comp", "left")
-    _, atoms = _graph.boruvka(marked.where(F.col("w") >= F.col("cut")).select("u", "v", "w"))
-    atoms = materialize(atoms.join(atoms.groupBy("comp").agg(F.min("node").alias("atom")), "comp").select(F.col("node").alias("rep"), "atom"), "atoms")
-    name = lambda df, c: df.join(atoms.select(F.col("rep").alias(c), F.col("atom").alias("_a")), c, "left").withColumn(c, F.coalesce("_a", c)).drop("_a")
-    rest = name(name(marked.where(F.col("cut").isNull() | (F.col("w") < F.col("cut"))).select("comp", "u", "v", "w"), "u"), "v").select("comp", "u", "v", "w")
-    return rest, name(nodes, "rep").groupBy("comp", "rep").agg(F.sum("copies").alias("copies")), atoms
+        return _condensed(trees, leaves, parts, min_size, reach, epsilon)
+    sizes = materialize(sizes, "sizes")
+    small = _condensed(trees.join(sizes, "tree", "left_anti"), leaves.join(sizes, "tree", "left_anti"), parts, min_size, reach, epsilon)
+    marked = materialize(_cut_trees(trees.join(sizes.select("tree"), "tree", "left_semi"), sizes), "cut")
+    points = leaves.join(sizes, "tree", "left_semi")
+    lower = marked.where("not upper")
+    _, found = _graph.boruvka(lower.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1.0).alias("w")))
+    named = found.join(found.groupBy("comp").agg(F.min("node").alias("part")), "comp").select(F.col("node").alias("leaf"), "part")
+    points = materialize(points.join(named, "leaf", "left").withColumn("part", F.coalesce("part", "leaf")), "parts")
+    part_of = points.select("leaf", "part")
+    within = lower.join(part_of, F.col("a") == F.col("leaf")).select(F.col("part").alias("tree"), *_EDGE[1:])
+    low = materialize(_hierarchies(within, points.select(F.col("part").alias("tree"), *_LEAF[1:]), parts, min_size, None, epsilon), "low")
+    above = marked.where("upper").select(*_EDGE)
+    for end in "ab":
+        above = above.join(part_of.select(F.col("leaf").alias(end), F.col("part").alias("_p")), end).withColumn(end, F.col("_p")).drop("_p")
+    outer = points.select("part", F.col("tree").alias("outer")).distinct()
+    tops = low.where("kind = 1").join(outer, F.col("tree") == F.col("part")).select(F.col("outer").alias("tree"), F.col("part").alias("leaf"), *_LEAF[2:])
+    up = materialize(_hierarchies(above.select(*_EDGE), tops, parts, min_size, reach, epsilon), "up")
+    over = up.where("kind = 0").select(F.col("tree").alias("_t"), F.col("leaf").alias("_l"), *[F.col(c).alias(f"_{c}") for c in ("leave", "whole", "label", "born", "stability")])
+    both = low.where("kind = 0").join(over, F.col("tree") == F.col("_l"))
+    stands = F.col("_label").isNull() & F.col("_whole")  # nothing above was selected, so what was selected within the part is
+    pick = lambda c: F.when(stands, F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
+    rows = both.select("kind", F.col("_t").alias("tree"), "leaf", F.when(F.col("_whole"), F.col("leave")).otherwise(F.col("_leave")).alias("leave"), (F.col("whole") & F.col("_whole")).alias("whole"), pick("label"), pick("born"), pick("stability"), "size", "alive", "inner", "forced")
+    return small.union(rows).union(up.where("kind = 1"))
 
 
 class Clustering:
@@ -328,24 +405,24 @@ class Clustering:
         return near.select("rep", "comp", "copies").unionByName(alone.withColumn("comp", F.col("rep")))
 
     def clusters(self) -> DataFrame:
-        """``rep, cluster, persistence, stability``: the selected clusters; cluster is the smallest key."""
+        """``rep, cluster, persistence, stability``: the selected clusters of the condensed hierarchy; cluster is the smallest key.
+
+        Persistence is the density at which a record left its cluster less that at which the cluster began.
+        """
         nodes = materialize(self.components(), "nodes")
-        reach = 1 - self.min_similarity
-        trees = self.forest.join(self.nodes.select(F.col("rep").alias("u"), "comp"), "u").select("comp", "u", "v", "w")
-        trees, held, atoms = _contract(materialize(trees, "trees"), nodes)
-        got = _hierarchies(trees, held, self.parts, self.min_size, reach, self.epsilon)
-        if atoms is None:
-            return got
-        got = got.withColumnRenamed("rep", "atom").join(nodes.select("rep").join(atoms, "rep", "left").select("rep", F.coalesce("atom", "rep").alias("atom")), "atom")
-        return got.select("rep", F.min("rep").over(Window.partitionBy("cluster")).alias("cluster"), "persistence", "stability")
-
-    def cliques(self) -> DataFrame:
-        """``rep, comp``: components in which all are at least ``min_similarity`` alike.
-
-        A component whose counted links are all there could be is one. Of the others, those with a member
+        ends = self.forest.join(self.nodes.select(F.col("rep").alias("u"), F.col("comp").alias("tree")), "u")
+        trees = materialize(ends.select("tree", F.col("u").alias("a"), F.col("v").alias("b"), "u", "v", "w"), "trees")
+        leaves = nodes.select(F.col("comp").alias("tree"), F.col("rep").alias("leaf"), F.col("copies").alias("size"), (F.col("copies") / NEAREST).alias("alive"), F.lit(None).cast("double").alias("inner"), F.lit(False).alias("forced"))
+        got = _hierarchies(trees, leaves, self.parts, self.min_size, 1 - self.min_similarity, self.epsilon)
+        return got.where("label is not null").select(F.col("leaf").alias("rep"), F.col("label").alias("cluster"), (F.col("leave") - F.col("born")).alias("persistence"), "stability")
+
+    def alike(self, clusters: DataFrame) -> DataFrame:
+        """``rep, cluster`` of those clusters in which all are at least ``min_similarity`` alike.
+
+        A cluster whose counted links are all there could be is one. Of the others, those with a member
         farther than that from the smallest are none, and the rest is compared in full, block by block.
         """
-        comps = materialize(self.components(), "components")
+        comps = clusters.select("rep", F.col("cluster").alias("comp"))
         sizes = comps.join(self.links, "rep", "left").groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.coalesce("links", F.lit(0))).alias("links"), F.min("rep").alias("first"))
         sizes = materialize(sizes, "sizes")
         full = sizes.where(F.col("links") >= F.col("n") * (F.col("n") - 1)).select("comp")
@@ -360,7 +437,7 @@ class Clustering:
         tiles = tiles.select("comp", "vec", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b")
         bad = _unlike(tiles.repartition(self.parts, "comp", "i", "j"), self.min_similarity).distinct()
         fine = rows.select("comp").distinct().join(bad, "comp", "left_anti")
-        return comps.join(full.union(fine), "comp", "left_semi").select("rep", "comp")
+        return comps.join(full.union(fine), "comp", "left_semi").select("rep", F.col("comp").alias("cluster"))
 
 
 def _far(pairs: DataFrame, min_similarity: float) -> DataFrame:
@@ -411,14 +488,16 @@ def grouped_vectors(vectors: DataFrame, instances: DataFrame, group: str = "lu_l
 def mutual_clusters(vectors: DataFrame, instances: DataFrame, min_similarity: float = 0.9) -> DataFrame:
     """``cluster_key, instance_key``: sets of two or more in which all are alike and none is like a key outside.
 
-    These are the roots of the hierarchy of that reach (with ``epsilon`` at the reach no root is divided)
-    that pass the check of :meth:`Clustering.cliques`.
+    They are selected from the condensed hierarchy that reaches down to that similarity. As no set may have a similar key outside,
+    parts give way to the cluster that holds them at every distance (``epsilon`` 1). With ``min_samples`` 2 (a record and its nearest) a distance is
+    never less than the greater of the two core distances, so it is the mutual reachability and cores need not be
+    computed. An exact check follows: clusters not all alike are left out.
     """
     rows = grouped_vectors(vectors, instances).select("grp", "key", "vec")
-    model = Clustering(rows, min_similarity, min_samples=2, epsilon=1 - min_similarity)
-    keys = materialize(model.cliques().join(model.members, "rep").select("comp", "key"), "cliques")
-    labels = keys.groupBy("comp").agg(F.min("key").alias("cluster_key"), F.count("*").alias("n")).where("n > 1")
-    return keys.join(labels, "comp").select("cluster_key", F.col("key").alias("instance_key"))
+    model = Clustering(rows, min_similarity, min_samples=2, epsilon=1.0)
+    found = materialize(model.clusters(), "clusters")
+    keys = model.alike(found).join(model.members, "rep")
+    return keys.select(F.col("cluster").alias("cluster_key"), F.col("key").alias("instance_key"))
 
 
 def describe_clusters(vectors: DataFrame, instances: DataFrame, min_similarity: float = 0.8, min_samples: int = 3, exemplars: int = 3) -> DataFrame:

@@ -114,15 +114,71 @@ def test_clusters_have_sizes_and_exemplars(vector_table, instances):
     assert {r.lu_lemma for r in rows} <= {"sagen", "geben"}
 
 
-def test_contracted_tree_keeps_all_members(vector_table, instances):
-    before = similarity_clusters.describe_clusters(vector_table, instances, 0.8, 2).agg(F.sum("size")).first()[0]
-    old = similarity_clusters.TASK_EDGES
-    similarity_clusters.TASK_EDGES = 2
-    try:
-        after = similarity_clusters.describe_clusters(vector_table, instances, 0.8, 2).agg(F.sum("size")).first()[0]
-    finally:
-        similarity_clusters.TASK_EDGES = old
-    assert after >= before
+def tree_rows(seed, n, digits):
+    """A random tree with weights that are often equal, and its leaves with copies."""
+    rng = np.random.default_rng(seed)
+    ids = rng.permutation(1000)[:n]
+    edges = [(0, int(min(a, b)), int(max(a, b)), int(min(a, b)), int(max(a, b)), float(round(w, digits))) for a, b, w in ((ids[i], ids[rng.integers(0, i)], rng.random()) for i in range(1, n))]
+    return edges, [(0, int(i), int(rng.integers(1, 4)), None, False) for i in ids]
+
+
+@pytest.mark.parametrize("n, digits, min_size, epsilon", [(60, 9, 2, 0.0), (60, 1, 5, 0.25)])
+def test_divided_hierarchy_is_the_whole_one(spark, monkeypatch, n, digits, min_size, epsilon):
+    """Clusters, persistence and stability do not depend on what a task can hold, also where many edges weigh the same."""
+    edges, leaves = tree_rows(n + digits, n, digits)
+    trees = spark.createDataFrame(edges, "tree long, a long, b long, u long, v long, w double")
+    points = spark.createDataFrame(leaves, "tree long, leaf long, size long, inner double, forced boolean").withColumn("alive", F.col("size") / similarity_clusters.NEAREST)
+    found = []
+    for held in (1_000_000, 25):
+        monkeypatch.setattr(similarity_clusters, "TASK_EDGES", held)
+        rows = similarity_clusters._hierarchies(trees, points, 3, min_size, 1.0, epsilon).where("kind = 0").collect()
+        assert len(rows) == n
+        found.append({r.leaf: (r.label, r.label and round(r.leave - r.born, 4), r.label and round(r.stability, 2)) for r in rows})
+    assert found[0] == found[1]
+    assert any(x[0] is not None for x in found[0].values())
+
+
+def test_large_groups_find_their_pairs_over_several_lists(spark, data, monkeypatch):
+    """Of the pairs within a group at 0.8 or above, at least 0.99 are linked when the group is divided among lists."""
+    monkeypatch.setattr(similarity_clusters, "WHOLE_ROWS", 16)
+    monkeypatch.setattr(_ivf, "LIST_ROWS", 16)
+    usable = _ivf.usable_vectors(spark.read.parquet(f"{data}/instance_vectors.parquet"))
+    model = similarity_clusters.Clustering(usable.select(F.lit(1).cast("long").alias("grp"), "key", "vec"), 0.8)
+    reps = {r.rep: np.frombuffer(r.vec, "<f4") for r in model.reps.collect()}
+    _, s, _ = brute(reps)
+    want = int((s >= 0.8).sum() - len(reps))
+    assert len(reps) > 300 and model.links.agg(F.sum("links")).first()[0] >= 0.99 * want
+
+
+def planted(spark, n_groups=6):
+    """Groups of well separated tight clusters: vectors, instances and the clusters that must come out."""
+    rng = np.random.default_rng(12)
+    rows, names, want, key = [], [], set(), 0
+    for g in range(n_groups):
+        axes = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+        for c in range(3):
+            members = []
+            for _ in range(4 + c + g):
+                v = axes[c] + 0.03 * rng.normal(size=64) / 8
+                rows.append(("unmasked", key, v.astype("f4").tolist()))
+                names.append((key, f" Lemma{g}\t"))
+                members.append(key)
+                key += 1
+            want.add((f"lemma{g}", members[0], len(members)))
+        for c in range(3, 9):  # strangers
+            rows.append(("unmasked", key, axes[c].astype("f4").tolist()))
+            names.append((key, f"lemma{g}"))
+            key += 1
+    return spark.createDataFrame(rows, "masking string, key long, embedding array<float>"), spark.createDataFrame(names, "id long, lu_lemma string"), want
+
+
+@pytest.mark.parametrize("whole", [4096, 8])
+def test_planted_clusters_come_out(spark, monkeypatch, whole):
+    monkeypatch.setattr(similarity_clusters, "WHOLE_ROWS", whole)
+    vectors, instances, want = planted(spark)
+    got = similarity_clusters.describe_clusters(vectors, instances).collect()
+    assert {(r.lu_lemma, r.cluster_key, r["size"]) for r in got} == want
+    assert all(len(r.exemplars) == 3 for r in got)
 
 
 def kruskal(edges):
@@ -162,9 +218,13 @@ def test_hierarchy_finds_two_dense_parts():
     s = x @ x.T
     u, v = np.triu_indices(20, 1)
     keep = _graph.spanning_forest(u, v, s[u, v])
-    got, kept, _ = similarity_clusters.condense(20, u[keep], v[keep], s[u, v][keep], np.ones(20, "i8"), 5, 1.0, 0.0)
+    w = s[u, v][keep]
+    order = np.argsort(-w)
+    ones = [1] * 20
+    member, leave, _, label, born, *_ = similarity_clusters.condense(ones, [1e6] * 20, [None] * 20, [False] * 20, u[keep][order].tolist(), v[keep][order].tolist(), (1 / (1 - w[order])).tolist(), 5, 0.0)
+    got = np.array(label)[member]
     assert len(set(got[:10]) - {-1}) == 1 and len(set(got[10:]) - {-1}) == 1 and set(got[:10]) != set(got[10:])
-    assert (kept[got >= 0] >= 0).all()
+    assert all(d >= born[c] for d, c in zip(leave, member))
 
 
 def test_mutual_reachability_equals_brute_force(vector_table, instances, cloud):
