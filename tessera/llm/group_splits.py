@@ -21,66 +21,78 @@ from tessera.storage import materialize
 BLOCK, STEPS, STARTS = 4096, 6, 2
 #: A component with more than this part of a block's smallest share is placed before the blocks; so many labels of such components are balanced.
 LARGE, LARGE_LABELS = 0.25, 1000
+#: Components placed before the blocks, at most: the largest. Of more, the rest goes into blocks, and the last block makes up for them.
+MOST_LARGE = 65_536
 
 
 def components(rows: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
     """``row_id, comp``: rows that share a non-null value of any key, directly or through others, have one component.
 
-    With one key the value itself is the component and nothing is searched. A row without any key is one by itself.
+    Values of the first key are components as they are; only those that a value of another key joins are searched, each value as a star
+    of its members, so that a value of many rows costs its size. A row without any key is one by itself.
     """
+    alone = F.concat(F.lit("row "), F.col(row_id).cast("string"))
+    ids = rows.select(row_id, F.coalesce(F.col(keys[0]).cast("string"), alone).alias("comp"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys[1:])])
     if len(keys) == 1:
-        return rows.select(row_id, F.coalesce(F.col(keys[0]).cast("string"), F.concat(F.lit("row "), F.col(row_id).cast("string"))).alias("comp"))
-    ids = rows.select(row_id, F.xxhash64(F.lit("row"), row_id).alias("_n"), *keys)
+        return ids
+    ids = ids.withColumn("_n", F.xxhash64("comp"))
     links = None
-    for k in keys:
-        one = ids.where(F.col(k).isNotNull()).select(F.col("_n").alias("u"), F.xxhash64(F.lit(k), F.col(k).cast("string")).alias("v"), F.lit(1.0).alias("w"))
-        links = one if links is None else links.union(one)
+    for i in range(len(keys) - 1):
+        pairs = ids.where(F.col(f"_k{i}").isNotNull()).select("_n", F.col(f"_k{i}").alias("_k")).distinct()
+        middle = pairs.groupBy("_k").agg(F.min("_n").alias("u"), F.count("*").alias("_c")).where("_c > 1").select("_k", "u")
+        star = pairs.join(middle, "_k").where("u <> _n").select("u", F.col("_n").alias("v"), F.lit(1.0).alias("w"))
+        links = star if links is None else links.union(star)
     _, nodes = _graph.boruvka(links)
-    got = ids.join(nodes, ids["_n"] == nodes["node"], "left")
-    return got.select(row_id, F.coalesce("comp", "_n").cast("string").alias("comp"))
+    got = ids.join(nodes.select(F.col("node").alias("_n"), F.col("comp").alias("_j")), "_n", "left")
+    return got.select(row_id, F.coalesce(F.concat(F.lit("joined "), F.col("_j").cast("string")), "comp").alias("comp"))
 
 
-def anneal(sizes: np.ndarray, labels: np.ndarray, start: np.ndarray, shares: np.ndarray, seed: int, steps: int, weight: float, target: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+def anneal(loads: list[list[tuple[int, float]]], start: list[int], wanted: np.ndarray, weight: float, seed: int, steps: int) -> tuple[list[int], float]:
     """Splits of components after annealing, and their squared deviation: of sizes, plus ``weight`` times that of the labels on average.
 
-    ``target``: rows wanted in each split, of all and of each label, where they are not the ``shares``. The last state is given: the heat falls to a millionth, so the end is a descent.
+    ``loads``: of each component its rows (column 0) and its rows of each label it has (columns from 1), however many labels there are.
+    ``wanted``: rows wanted in each split, by column. The last state is given: the heat falls to a millionth, so the end is a descent.
     """
     rng = np.random.default_rng(seed)
-    n, k = len(sizes), len(shares)
-    load = np.concatenate([sizes[:, None], labels], axis=1)
-    scale = np.sqrt(np.r_[1.0, np.full(labels.shape[1], weight / labels.shape[1])]) / np.maximum(load.sum(0), 1e-9)
-    load = load * scale
-    target = shares[:, None] * load.sum(0) if target is None else target * scale
-    split = start.copy()
-    held = np.zeros_like(target)
-    np.add.at(held, split, load)
-    gap = held - target
-    cost = float((gap**2).sum())
-    heat = max(cost, 1e-9) / 4
-    picks, others, tos = rng.integers(0, n, steps), rng.integers(0, n, steps), rng.integers(0, k, steps)
-    luck = rng.random(steps)
-    swap = rng.random(steps) < 0.5
-    cool = (1e-6) ** (1 / max(steps, 1))
-    for s in range(steps):
-        a = picks[s]
+    n, (k, columns) = len(loads), wanted.shape
+    total = np.zeros(columns)
+    for load in loads:
+        for c, v in load:
+            total[c] += v
+    scale = np.sqrt(np.r_[1.0, np.full(columns - 1, weight / max(columns - 1, 1))]) / np.maximum(total, 1e-9)
+    gap = (-wanted * scale).tolist()
+    scale = scale.tolist()
+    loads = [[(c, v * scale[c]) for c, v in load] for load in loads]
+    split = list(start)
+    for x, load in zip(split, loads):
+        for c, v in load:
+            gap[x][c] += v
+    cost = sum(g * g for row in gap for g in row)
+    picks, others, tos = (rng.integers(0, m, steps).tolist() for m in (n, n, k))
+    swap = (rng.random(steps) < 0.5).tolist()
+    # a step that costs more than its threshold is not taken
+    heat = max(cost, 1e-9) / 4 * (1e-6) ** (np.arange(1, steps + 1) / max(steps, 1))
+    most = (-heat * np.log(np.maximum(rng.random(steps), 1e-300))).tolist()
+    for a, b, y, both, limit in zip(picks, others, tos, swap, most):
         x = split[a]
-        if swap[s]:
-            b = others[s]
+        if both:
             y = split[b]
-            step = load[b] - load[a]
-        else:
-            b, y = -1, tos[s]
-            step = -load[a]
-        heat *= cool
         if x == y:
             continue
+        step = {c: -v for c, v in loads[a]}
+        if both:
+            for c, v in loads[b]:
+                step[c] = step.get(c, 0.0) + v
         gx, gy = gap[x], gap[y]
-        change = float(step @ (2 * gx + step) - step @ (2 * gy - step))
-        if change <= 0 or luck[s] < np.exp(-change / heat):
-            gap[x] = gx + step
-            gap[y] = gy - step
+        change = 0.0
+        for c, d in step.items():
+            change += 2 * d * (gx[c] - gy[c] + d)
+        if change <= limit:
+            for c, d in step.items():
+                gx[c] += d
+                gy[c] -= d
             split[a] = y
-            if b >= 0:
+            if both:
                 split[b] = x
             cost += change
     return split, cost
@@ -118,27 +130,30 @@ def assign(
     splits: dict[str, float],
     weight: float = 0.3,
     seed: int = 11,
+    n_rows: Column | None = None,
 ) -> DataFrame:
-    """``comp, n_rows, n_old_splits, old_splits, split``: a row for each component with its new split.
+    """``comp, n_rows, n_old_splits, old_splits, labels, split``: a row for each component with its new split; ``labels`` are its rows by label.
 
-    ``splits`` are names and shares of the rows. A component is never divided: one larger than every share makes its split as much
+    ``n_rows`` says how many rows a row stands for, else each is one. ``splits`` are names and shares of the rows. A component is never divided: one larger than every share makes its split as much
     too large. Null components are left out, a null label is a label of its own, null old splits don't count; an empty table
     gives no rows. The result depends on the rows and the seed only, not on their order.
     """
     names, shares = list(splits), np.array(list(splits.values()), dtype=float)
     shares = shares / shares.sum()
-    cells = rows.select(component.cast("string").alias("comp"), F.coalesce(label.cast("string"), F.lit("")).alias("label"), old_split.cast("string").alias("old")).where("comp is not null")
+    cells = rows.select(component.cast("string").alias("comp"), F.coalesce(label.cast("string"), F.lit("")).alias("label"), old_split.cast("string").alias("old"), (F.lit(1) if n_rows is None else n_rows).cast("long").alias("n")).where("comp is not null")
     # rows are merged by (component, label, split) before anything is gathered
-    cells = cells.groupBy("comp", "label", "old").agg(F.count("*").alias("n"))
-    comps = cells.groupBy("comp").agg(F.sum("n").alias("n_rows"), F.collect_set("old").alias("old"), F.collect_list(F.struct("label", "n")).alias("labels"))
+    cells = cells.groupBy("comp", "label", "old").agg(F.sum("n").alias("n"))
+    comps = cells.groupBy("comp").agg(F.sum("n").alias("n_rows"), F.collect_set("old").alias("old"), F.array_sort(F.collect_list(F.struct("label", "n"))).alias("labels"))
     comps = materialize(comps.select("comp", "n_rows", F.array_sort("old").alias("old"), "labels"), "components")
     total = comps.count()
     blocks = max(1, -(-total // BLOCK))
-    sent = comps.select("comp", "n_rows", "old", "labels", F.pmod(F.xxhash64(F.lit(seed), "comp"), F.lit(blocks)).cast("int").alias("block"))
+    # where a component starts is settled by its hash, so that others don't move it
+    luck = F.pmod(F.xxhash64(F.lit(seed + 1), "comp"), F.lit(1 << 30)) / (1 << 30)
+    sent = comps.select("comp", "n_rows", "old", "labels", F.pmod(F.xxhash64(F.lit(seed), "comp"), F.lit(blocks)).cast("int").alias("block"), luck.alias("luck"))
     rest, rest_of, done = shares, {}, None
     if blocks > 1:
         n_all = comps.agg(F.sum("n_rows")).first()[0]
-        large = comps.where(F.col("n_rows") > LARGE * shares[shares > 0].min() * n_all / blocks).orderBy(F.desc("n_rows"), "comp").limit(BLOCK).select("comp", "n_rows", "labels").collect()
+        large = comps.where(F.col("n_rows") > LARGE * shares[shares > 0].min() * n_all / blocks).orderBy(F.desc("n_rows"), "comp").limit(MOST_LARGE).select("comp", "n_rows", "labels").collect()
         if large:
             often: dict[str, int] = {}
             for c in large:
@@ -148,7 +163,7 @@ def assign(
             counts = comps.select(F.explode("labels").alias("l")).where(F.col("l.label").isin(*chosen)).groupBy("l.label").agg(F.sum("l.n").alias("n")).collect()
             placed, rest, rest_of = _place_large(large, n_all, {r.label: r.n for r in counts}, shares, weight)
             first = comps.sparkSession.createDataFrame([(c.comp, names[k]) for c, k in zip(large, placed)], "comp string, split string")
-            done = comps.join(F.broadcast(first), "comp").select("comp", "n_rows", "old", "split")
+            done = comps.join(F.broadcast(first), "comp").select("comp", "n_rows", "old", "labels", "split")
             sent = sent.join(F.broadcast(first.select("comp")), "comp", "left_anti")
 
     def search(batches, wanted=None):
@@ -161,33 +176,28 @@ def assign(
         sizes = t.column("n_rows").to_numpy().astype(float)
         lists = t.column("labels").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        owner = np.repeat(np.arange(t.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        ends = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
         flat = lists.flatten()
         codes = flat.field("label").dictionary_encode()
-        share_of = np.array([rest_of.get(x, rest) for x in codes.dictionary.to_pylist()])
+        share_of = np.array([rest_of.get(x, rest) for x in codes.dictionary.to_pylist()]).reshape(-1, len(shares))
         counts, codes = flat.field("n").to_numpy().astype(float), codes.indices.to_numpy()
-        start = np.searchsorted(np.cumsum(rest), np.random.default_rng(seed).random(t.num_rows), side="right").clip(0, len(shares) - 1)
+        start = np.searchsorted(np.cumsum(rest), t.column("luck").to_numpy(), side="right").clip(0, len(shares) - 1)
         for b in np.unique(block):
             here = np.flatnonzero(block == b)
-            at = np.full(t.num_rows, -1)
-            at[here] = np.arange(len(here))
-            mine = at[owner] >= 0
-            # labels of a block beyond the 15 most frequent count as one
-            by = np.bincount(codes[mine], weights=counts[mine])
-            top = np.argsort(-by, kind="stable")[:15]
-            column = np.full(len(by), len(top))
-            column[top] = np.arange(len(top))
-            labels = np.zeros((len(here), len(top) + 1))
-            np.add.at(labels, (at[owner[mine]], column[codes[mine]]), counts[mine])
-            target = np.zeros((len(shares), 1 + labels.shape[1]))
+            mine = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in here])
+            have, column = np.unique(codes[mine], return_inverse=True)
+            target = np.zeros((len(shares), 1 + len(have)))
             target[:, 0] = rest * sizes[here].sum() if wanted is None else wanted
-            np.add.at(target.T, 1 + column, by[:, None] * share_of[: len(by)])
-            tries = [anneal(sizes[here], labels, start[here], rest, seed + s, STEPS * len(here) + 500, weight, target) for s in range(STARTS)]
+            target[:, 1:] = (np.bincount(column, weights=counts[mine])[:, None] * share_of[have]).T
+            cells = list(zip((column + 1).tolist(), counts[mine].tolist()))
+            at = np.r_[0, np.cumsum(ends[here + 1] - ends[here])].tolist()
+            loads = [[(0, v), *cells[i:j]] for v, i, j in zip(sizes[here].tolist(), at, at[1:])]
+            tries = [anneal(loads, start[here].tolist(), target, weight, seed + s, STEPS * len(here) + 500) for s in range(STARTS)]
             split[here] = min(tries, key=lambda x: x[1])[0]
         out = pa.array(names).take(pa.array(split))
-        yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (t.column("comp"), t.column("n_rows"), t.column("old"), out)], names=["comp", "n_rows", "old", "split"])
+        yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (t.column("comp"), t.column("n_rows"), t.column("old"), t.column("labels"), out)], names=["comp", "n_rows", "old", "labels", "split"])
 
-    kind = "comp string, n_rows long, old array<string>, split string"
+    kind = "comp string, n_rows long, old array<string>, labels array<struct<label:string,n:long>>, split string"
     wanted = None
     if blocks > 1:
         found = sent.where("block > 0").repartitionById(blocks, "block").mapInArrow(search, kind)
@@ -197,4 +207,21 @@ def assign(
         wanted = shares * n_all - np.array([held.get(x, 0) for x in names], dtype=float)
     found = sent.where("block = 0").repartitionById(1, "block").mapInArrow(lambda batches: search(batches, wanted), kind)
     found = found if done is None else found.union(done)
-    return found.select("comp", "n_rows", F.size("old").alias("n_old_splits"), F.col("old").alias("old_splits"), "split")
+    return found.select("comp", "n_rows", F.size("old").alias("n_old_splits"), F.col("old").alias("old_splits"), "labels", "split")
+
+
+def report(assigned: DataFrame, splits: dict[str, float]) -> DataFrame:
+    """``split, label, n_rows, share, target, deviation``: rows of each split that were reached, of all (label null) and of each label, beside the wanted share.
+
+    Every split and label has a row, also where it got nothing; an empty table gives none.
+    """
+    whole = sum(splits.values())
+    wanted = F.array(*[F.struct(F.lit(k).alias("split"), F.lit(v / whole).alias("target")) for k, v in splits.items()])
+    cells = assigned.select("split", F.explode("labels").alias("l")).select("split", "l.label", "l.n")
+    cells = cells.groupBy("label", "split").agg(F.sum("n").alias("n"))
+    cells = materialize(cells.union(cells.groupBy(F.lit(None).cast("string").alias("label"), "split").agg(F.sum("n").alias("n"))), "cells")
+    all_ = cells.groupBy("label").agg(F.sum("n").alias("of")).select("label", "of", F.explode(wanted).alias("w")).select("label", "of", "w.*")
+    held = cells.select(F.col("label").alias("_l"), F.col("split").alias("_s"), "n")
+    got = all_.join(held, F.col("label").eqNullSafe(F.col("_l")) & (F.col("split") == F.col("_s")), "left").withColumn("n_rows", F.coalesce("n", F.lit(0)))
+    share = F.col("n_rows") / F.col("of")
+    return got.select("split", "label", "n_rows", share.alias("share"), "target", (share - F.col("target")).alias("deviation"))

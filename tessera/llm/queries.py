@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import fold
 from tessera.llm import _ivf, _tokens, abuse, group_splits, mixing, nearest_vectors, packing, similarity_clusters, split_overlap, term_frequency, topn_groups
-from tessera.storage import table
+from tessera.storage import materialize, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,17 +64,50 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return _overlaps(spark, folder).report()
 
 
+_SPLITS = {"train": 0.7, "dev": 0.1, "test": 0.2}
+
+
+def _sentences(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(Cells of sentence, data source and old split with their rows; the component of each sentence). Sentences of the same text are one component."""
+    rows = table(spark, folder, "salsa").select(fold("global_sentence_id").alias("sentence"), fold("data_source").alias("source"), fold("split").alias("old"), F.md5(fold("tokenized_sentence")).alias("text")).where("sentence is not null")
+    cells = materialize(rows.groupBy("sentence", "source", "old").agg(F.count("*").alias("n"), F.max("text").alias("text")), "sentences")
+    texts = cells.groupBy("sentence").agg(F.max("text").alias("text"))
+    return cells, group_splits.components(texts.withColumn("id", F.col("sentence")), "id", ["sentence", "text"])
+
+
+def _assigned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(Sentences with their component and old splits; components with their new split.)"""
+    cells, comps = _sentences(spark, folder)
+    cells = materialize(cells.join(comps.withColumnRenamed("id", "sentence"), "sentence"), "cells")
+    got = group_splits.assign(cells, F.col("comp"), F.col("source"), F.col("old"), _SPLITS, n_rows=F.col("n"))
+    return cells.groupBy("sentence", "comp").agg(F.sum("n").alias("n_rows"), F.count_distinct("old").alias("n_old_splits")), got
+
+
 def p6_assignment(spark: SparkSession, folder: str) -> DataFrame:
-    """Every sentence with its rows, the splits it is in and the one it should be in."""
-    rows = table(spark, folder, "salsa")
-    got = group_splits.assign(rows, fold("global_sentence_id"), fold("data_source"), fold("split"), {"train": 0.7, "dev": 0.1, "test": 0.2})
-    return got.select(F.col("comp").alias("global_sentence_id"), "n_rows", "n_old_splits", "split")
+    """Every sentence with its rows, the number of splits it is in and the one it should be in."""
+    sentences, got = _assigned(spark, folder)
+    return sentences.join(got.select("comp", "split"), "comp").select(F.col("sentence").alias("global_sentence_id"), "n_rows", "n_old_splits", "split")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_assignment(spark, folder).where("n_old_splits >= 2").select("global_sentence_id")
 
 
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and shares that the new splits reach, of all rows and of each data source."""
+    return group_splits.report(_assigned(spark, folder)[1], _SPLITS)
+
+
+def p6_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the new splits: rows and sentences assigned, sentences and texts that lie in several splits, and whether all shares are within half a percent."""
+    sentences, got = _assigned(spark, folder)
+    shares = group_splits.report(got, _SPLITS).where("label is null").agg(F.max(F.abs("deviation")).alias("d"))
+    rows = table(spark, folder, "salsa").select(fold("global_sentence_id").alias("sentence"), F.md5(fold("tokenized_sentence")).alias("text")).where("sentence is not null")
+    rows = rows.join(sentences.join(got.select("comp", "split"), "comp").select("sentence", "split"), "sentence")
+    several = lambda c: rows.groupBy(c).agg(F.count_distinct("split").alias("k")).where(F.col(c).isNotNull() & (F.col("k") > 1)).agg(F.count("*")).scalar()
+    return rows.agg(F.count("*").alias("n_rows"), F.count_distinct("sentence").alias("n_sentences")).select("n_rows", "n_sentences", several("sentence").alias("divided_sentences"), several("text").alias("divided_texts"), (shares.scalar() <= 0.005).alias("on_target"))
+
+
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_tokens.token_counts(table(spark, folder, "documents")), 2048)
 
@@ -116,4 +149,4 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_report, p6_found, p6_assignment, p8_containers, p8_fill, p9_mixture, p9_report, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_report, p6_found, p6_assignment, p6_report, p6_kept, p8_containers, p8_fill, p9_mixture, p9_report, p10_found, p10_scores, p10_rates)}

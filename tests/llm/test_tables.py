@@ -257,18 +257,38 @@ def test_labels_are_spread_evenly(spark):
 
 def test_annealing_lowers_the_deviation():
     rng = np.random.default_rng(0)
-    sizes, labels = rng.integers(1, 9, 300).astype(float), rng.integers(0, 2, (300, 2)).astype(float)
-    start, shares = np.zeros(300, int), np.array([0.7, 0.1, 0.2])
-    before = group_splits.anneal(sizes, labels, start, shares, 1, 0, 0.3)[1]
-    split, after = group_splits.anneal(sizes, labels, start, shares, 1, 3000, 0.3)
+    sizes, labels = rng.integers(1, 9, 300).astype(float), rng.integers(0, 2, 300)
+    loads = [[(0, v), (1 + int(x), v)] for v, x in zip(sizes, labels)]
+    total = np.array([sizes.sum(), *(sizes[labels == x].sum() for x in (0, 1))])
+    shares = np.array([0.7, 0.1, 0.2])
+    before = group_splits.anneal(loads, [0] * 300, shares[:, None] * total, 0.3, 1, 0)[1]
+    split, after = group_splits.anneal(loads, [0] * 300, shares[:, None] * total, 0.3, 1, 3000)
     assert after < before / 100
-    assert np.allclose([sizes[split == k].sum() / sizes.sum() for k in range(3)], shares, atol=0.02)
+    assert np.allclose([sizes[np.array(split) == k].sum() / sizes.sum() for k in range(3)], shares, atol=0.02)
+
+
+def test_many_labels_are_all_balanced(spark):
+    """Forty labels in one block: none of them is lumped with others."""
+    rows = [(f"c{i}", f"l{i % 40}", "train", "k", 1) for i in range(3000)]
+    got = group_splits.assign(spark.createDataFrame(rows, SPLIT_ROWS), F.col("c"), F.col("label"), F.col("old"), {"train": 0.7, "dev": 0.1, "test": 0.2}, weight=3.0)
+    told = group_splits.report(got, {"train": 0.7, "dev": 0.1, "test": 0.2}).collect()
+    assert len(told) == 3 * 41 and all(abs(r.deviation) < (0.005 if r.label is None else 0.1) for r in told)
+
+
+def test_start_of_a_component_does_not_depend_on_others(spark, monkeypatch):
+    """Without annealing steps a component is where its hash puts it."""
+    monkeypatch.setattr(group_splits, "anneal", lambda loads, start, *_: (start, 0.0))
+    rows = [(f"c{i}", "a", "train", "k", 1) for i in range(500)]
+    some, more = ({r.comp: r["split"] for r in group_splits.assign(spark.createDataFrame(x, SPLIT_ROWS), F.col("c"), F.col("label"), F.col("old"), {"train": 0.7, "dev": 0.1, "test": 0.2}).collect()} for x in (rows[:400], rows))
+    assert all(more[c] == k for c, k in some.items()) and 0.6 < sum(k == "train" for k in more.values()) / 500 < 0.8
 
 
 def test_components_over_several_keys(spark):
     rows = [(1, "a", "x"), (2, "a", None), (3, None, "x"), (4, "b", "y"), (5, None, None)]
     got = {r.id: r.comp for r in group_splits.components(spark.createDataFrame(rows, "id long, author string, source string"), "id", ["author", "source"]).collect()}
     assert got[1] == got[2] == got[3] and len({got[1], got[4], got[5]}) == 3
+    one = {r.id: r.comp for r in group_splits.components(spark.createDataFrame(rows, "id long, author string, source string"), "id", ["author"]).collect()}
+    assert one[1] == one[2] == "a" and len({one[3], one[4], one[5]}) == 3
 
 
 def test_no_components(spark):
