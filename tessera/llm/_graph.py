@@ -3,28 +3,30 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.blocks import table_of
 from tessera.storage import materialize
 
 
-def spanning_forest(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Positions of the edges of the maximum spanning forest; equal weights are ordered by their ends."""
-    if not len(u):
-        return np.zeros(0, int)
-    lo, hi = np.minimum(u, v), np.maximum(u, v)
-    order = np.lexsort((hi, lo, -w))
-    nodes, ends = np.unique(np.concatenate([lo[order], hi[order]]), return_inverse=True)
-    a, b = ends[: len(u)], ends[len(u) :]
-    n, edge, taken = len(nodes), np.arange(len(u)), []
+#: Edges that one task finishes; of more, rounds across the cluster leave fewer.
+TASK_EDGES = 1_000_000
+
+
+def _merge(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of edges in their order, best first: positions of those in the spanning forest, the nodes, and the smallest node each is connected with."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    n, edge, taken = len(nodes), np.arange(len(a)), [np.zeros(0, int)]
     comp = np.arange(n)
     while len(edge):
-        best = np.full(n, len(u))
+        best = np.full(n, len(a))
         ca, cb = comp[a[edge]], comp[b[edge]]
         np.minimum.at(best, ca, edge)
         np.minimum.at(best, cb, edge)
-        has = np.flatnonzero(best < len(u))
+        has = np.flatnonzero(best < len(a))
         chosen = best[has]
         taken.append(np.unique(chosen))
         parent = np.arange(n)
@@ -35,7 +37,29 @@ def spanning_forest(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
             parent = parent[parent]
         comp = parent[comp]
         edge = edge[comp[a[edge]] != comp[b[edge]]]
-    return order[np.unique(np.concatenate(taken))]
+    first = np.full(n, n)
+    np.minimum.at(first, comp, np.arange(n))
+    return np.unique(np.concatenate(taken)), nodes, nodes[first[comp]] if n else nodes
+
+
+def spanning_forest(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Positions of the edges of the maximum spanning forest; equal weights are ordered by their ends."""
+    lo, hi = np.minimum(u, v), np.maximum(u, v)
+    order = np.lexsort((hi, lo, -w))
+    return order[_merge(lo[order], hi[order])[0]]
+
+
+def _finish(batches):
+    """The rest of the forest (kind 0) and the component of each node (kind 1) from all edges that are left."""
+    t = table_of(batches)
+    if t is None:
+        return
+    u, v, w, cu, cv = (t.column(c).to_numpy() for c in ("u", "v", "w", "cu", "cv"))
+    order = np.lexsort((v, u, -w))
+    taken, nodes, comp = _merge(cu[order], cv[order])
+    at = order[taken]
+    for kind, a, b, x in ((0, u[at], v[at], w[at]), (1, nodes, comp, np.zeros(len(nodes)))):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, "i4")), pa.array(a), pa.array(b), pa.array(x)], names=["kind", "a", "b", "w"])
 
 
 def _relabel(edges: DataFrame, parents: DataFrame) -> DataFrame:
@@ -51,13 +75,15 @@ def boruvka(edges: DataFrame, jumps: int = 3) -> tuple[DataFrame, DataFrame]:
     edges are allowed. In each round every component takes its best edge (of equal weights that with the
     smaller ends), hooks onto the component at its other end, and pointers are halved ``jumps`` times; a
     component not yet at its root after that merges in a later round. Rounds are logarithmic in the size of
-    the largest component; each is written to a table.
+    the largest component; each is written to a table. What is left is finished in one task as soon as it is no more than ``TASK_EDGES``
+    edges; the forest is the same. A component is called by its smallest node.
     """
     edges = edges.where("u != v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("w").alias("w"))
     left = materialize(edges.select("u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv")), "edges")
-    nodes = left.select(F.col("u").alias("node")).union(left.select("v")).distinct().withColumn("comp", F.col("node"))
-    forest = None
-    while not left.isEmpty():
+    forest = nodes = None
+    while (n := left.count()) > TASK_EDGES:
+        if nodes is None:
+            nodes = left.select(F.col("u").alias("node")).union(left.select("v")).distinct().withColumn("comp", F.col("node"))
         both = left.select("u", "v", "w", F.col("cu").alias("c"), F.col("cv").alias("o")).union(left.select("u", "v", "w", "cv", "cu"))
         best = both.groupBy("c").agg(F.max_by(F.struct("o", "u", "v", "w"), F.struct("w", -F.col("u"), -F.col("v"))).alias("b"))
         best = materialize(best.select("c", "b.*"), "best")
@@ -71,5 +97,14 @@ def boruvka(edges: DataFrame, jumps: int = 3) -> tuple[DataFrame, DataFrame]:
         forest = taken if forest is None else forest.union(taken)
         left = materialize(_relabel(left, parents), "edges")
         nodes = materialize(nodes.join(parents, nodes.comp == parents.c, "left").select("node", F.coalesce("parent", "comp").alias("comp")), "nodes")
-    forest = edges if forest is None else forest.distinct()
-    return forest, nodes
+    if n or nodes is None:
+        rest = materialize(left.repartition(1).mapInArrow(_finish, "kind int, a long, b long, w double"), "forest")
+        taken = rest.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"), "w")
+        forest = taken if forest is None else forest.union(taken)
+        parents = rest.where("kind = 1").select(F.col("a").alias("c"), F.col("b").alias("parent"))
+        if nodes is None:
+            return forest, parents.select(F.col("c").alias("node"), F.col("parent").alias("comp"))
+        nodes = nodes.join(parents, nodes.comp == parents.c, "left").select("node", F.coalesce("parent", "comp").alias("comp"))
+    nodes = materialize(nodes, "nodes")
+    first = nodes.groupBy("comp").agg(F.min("node").alias("first"))
+    return forest.distinct(), nodes.join(first, "comp").select("node", F.col("first").alias("comp"))

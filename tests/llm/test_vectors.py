@@ -197,7 +197,9 @@ def kruskal(edges):
     return out, {x: find(x) for x in list(up)}
 
 
-def test_spanning_forests_equal_kruskal(spark):
+@pytest.mark.parametrize("held", [1_000_000, 40, 0])
+def test_spanning_forests_equal_kruskal(spark, monkeypatch, held):
+    monkeypatch.setattr(_graph, "TASK_EDGES", held)
     rng = np.random.default_rng(2)
     edges = {(int(a), int(b)): float(round(w, 1)) for a, b, w in zip(rng.integers(0, 60, 150), rng.integers(0, 60, 150), rng.random(150)) if a < b}
     rows = [(a, b, w) for (a, b), w in edges.items()]
@@ -207,7 +209,7 @@ def test_spanning_forests_equal_kruskal(spark):
     forest, nodes = _graph.boruvka(spark.createDataFrame(rows + rows[:9], "u long, v long, w double"), jumps=1)
     assert {(r.u, r.v) for r in forest.collect()} == want
     comps = {r.node: r.comp for r in nodes.collect()}
-    assert len(comps) == len(roots)
+    assert len(comps) == len(roots) and all(comps[c] == c and c <= x for x, c in comps.items())
     assert all((comps[a] == comps[b]) == (roots[a] == roots[b]) for a in roots for b in roots)
 
 
