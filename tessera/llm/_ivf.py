@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Rows the centroids are fitted on, at most, and rows for each centroid.
 SAMPLE_ROWS, ROWS_PER_CENTROID = 65_536, 32
 #: Mean length of a list, and rows whose home is in one group.
-LIST_ROWS, GROUP_ROWS = 512, 16_384
+LIST_ROWS, GROUP_ROWS = 512, 32_768
 #: The quantiser is broadcast: 16,384 centroids of 64 dimensions are 4 MB.
 MAX_LISTS = 16_384
 PROBES, MARGIN = 12, 0.35

@@ -30,7 +30,8 @@ NEAREST = 1e-6
 
 def _collapse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From ``grp, key, vec``: (``grp, rep, vec, copies``; ``rep, key``) with equal vectors of a group under their smallest key."""
-    marked = rows.withColumn("h", F.md5("vec"))
+    # written, since it is read twice
+    marked = materialize(rows.withColumn("h", F.md5("vec")), "usable")
     reps = materialize(marked.groupBy("grp", "h").agg(F.min("key").alias("rep"), F.first("vec").alias("vec"), F.count("*").alias("copies")), "vectors")
     shared = reps.where("copies > 1").select("grp", "h", "rep")
     members = marked.select("grp", "h", "key").join(shared, ["grp", "h"]).select("rep", "key").union(reps.where("copies = 1").select("rep", F.col("rep").alias("key")))

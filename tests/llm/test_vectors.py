@@ -72,6 +72,20 @@ def test_recall_of_the_index(data, spark):
         _ivf.LIST_ROWS, _ivf.GROUP_ROWS = old
 
 
+@pytest.mark.parametrize("rows_of_list", [32, 128])
+def test_recall_of_the_close_pairs_as_they_are_searched(spark, monkeypatch, rows_of_list):
+    """With the probes and the margin of p3_found, over 30 to 120 lists in several groups."""
+    monkeypatch.setattr(_ivf, "LIST_ROWS", rows_of_list)
+    monkeypatch.setattr(_ivf, "GROUP_ROWS", 512)
+    vectors = spark.read.parquet("/root/testdata/sf0.01/instance_vectors.parquet")
+    cloud = {r.key: np.frombuffer(r.vec, "<f4") for r in _ivf.usable_vectors(vectors).collect()}
+    keys, s, best = brute(cloud)
+    at = {int(k): i for i, k in enumerate(keys)}
+    want = {(min(int(a), int(b)), max(int(a), int(b))) for a, row in best.items() for b in row if s[at[int(a)], at[int(b)]] >= 0.9}
+    got = {tuple(r) for r in nearest_vectors.close_neighbour_pairs(vectors).collect()}
+    assert len(cloud) > 3000 and len(want) > 200 and len(got & want) >= 0.999 * len(want) and len(got - want) <= 0.001 * len(want)
+
+
 @pytest.fixture(scope="module")
 def instances(spark, cloud):
     rows = [(k, ("  Sagen" if k % 2 else "sagen ") if k % 3 else ("geben" if k % 5 else None), "x", 1) for k in cloud]
