@@ -39,35 +39,43 @@ def best_five(rows):
     return {(g, run, i + 1) for g, x in by.items() for i, (_, run) in enumerate(sorted(x)[:5])}
 
 
-@pytest.mark.parametrize("row_group", [256 * 1024, 2000])
-def test_top_n_equals_brute_force(spark, runs, row_group):
-    old = topn_groups.ROW_GROUP_BYTES
-    topn_groups.ROW_GROUP_BYTES = row_group
-    try:
-        got = topn_groups.top_n(spark.createDataFrame(runs, SCHEMA), "g", "run", "s", 5, "t").collect()
-    finally:
-        topn_groups.ROW_GROUP_BYTES = old
+@pytest.mark.parametrize("row_group, bucket", [(256 * 1024, 500_000), (2000, 500_000), (2000, 60)])
+def test_top_n_equals_brute_force(spark, runs, monkeypatch, row_group, bucket):
+    monkeypatch.setattr(topn_groups, "ROW_GROUP_BYTES", row_group)
+    monkeypatch.setattr(topn_groups, "BUCKET_ROWS", bucket)
+    got = topn_groups.top_n(spark.createDataFrame(runs, SCHEMA), "g", "run", "s", 5, "t").collect()
     assert {(r.grp, r["item"], r["rank"]) for r in got} == best_five(runs)
 
 
-def test_top_n_of_hot_group_skips_row_groups(spark):
-    n = 60_000
-    df = spark.range(n).select(F.lit(1).alias("g"), F.col("id").alias("run"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("s"))
-    old = topn_groups.ROW_GROUP_BYTES
-    topn_groups.ROW_GROUP_BYTES = 16_000
-    try:
-        one = df.select(F.col("g").cast("long").alias("grp"), "s", F.col("run").alias("item")).withColumnRenamed("s", "score")
-        path = topn_groups.cluster(one)
-        files = spark.read.schema("grp long, score double, item long").parquet(path).inputFiles()
-        zoned = topn_groups.zones(spark, files).cache()
-        floors = zoned.where("n >= 5").agg(F.max("worst").alias("floor"))
-        read = topn_groups.read_best(zoned.withColumn("floor", floors.scalar()), 5, 8)
-        assert read.where("item is null").agg(F.sum("score")).first()[0] > 0.5 * zoned.count()
-    finally:
-        topn_groups.ROW_GROUP_BYTES = old
-    got = [r["item"] for r in topn_groups.top_n(df, "g", "run", "s", 5).orderBy("rank").collect()]
-    want = [r.run for r in df.orderBy(F.desc("s"), "run").limit(5).collect()]
-    assert got == want
+@pytest.mark.parametrize("groups, bucket", [(1, 500_000), (1, 20_000), (40, 500_000)])
+def test_top_n_skips_row_groups(spark, monkeypatch, groups, bucket):
+    """Of one hot group, in one file or several, and of row groups that hold forty groups each."""
+    monkeypatch.setattr(topn_groups, "ROW_GROUP_BYTES", 16_000)
+    monkeypatch.setattr(topn_groups, "BUCKET_ROWS", bucket)
+    df = spark.range(60_000).select(F.pmod("id", F.lit(groups)).alias("g"), F.col("id").alias("run"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("s"))
+    path = topn_groups.cluster(df.select(F.col("g").alias("grp"), F.col("s").alias("score"), F.col("run").alias("item")))
+    files = spark.read.schema("grp long, score double, item long").option("recursiveFileLookup", True).parquet(path).inputFiles()
+    zoned = topn_groups.zones(spark, files).cache()
+    read = topn_groups.read_best(zoned.withColumn("floor", F.lit(None).cast("double")), 5, 8).where("grp is null").agg(F.sum("score"), F.sum("item")).first()
+    assert zoned.count() > 10
+    if bucket > 60_000:
+        assert read[0] > 0.5 * zoned.count() and (read[1] > 0.5 * zoned.count()) == (groups > 1)
+    got = {(r.grp, r["item"], r["rank"]) for r in topn_groups.top_n(df, "g", "run", "s", 5).collect()}
+    rows = sorted((r.g, -r.s, r.run) for r in df.collect())
+    by = {}
+    for g, _, run in rows:
+        by.setdefault(g, []).append(run)
+    assert got == {(g, run, i + 1) for g, x in by.items() for i, run in enumerate(x[:5])}
+
+
+def test_row_groups_of_unseen_or_open_groups_are_read():
+    top = topn_groups.Best(2)
+    top.add(np.array([1, 1, 2]), np.array([9.0, 8.0, 7.0]), np.array([1, 2, 3]), np.array([4, 4, 2]))
+    assert not top.may_skip(1, 2, 5.0, 6)  # group 2 has one of its two rows
+    assert not top.may_skip(1, 2, 5.0, 9)  # there is a group not seen yet
+    top.add(np.array([2]), np.array([6.0]), np.array([4]), np.array([2]))
+    assert top.may_skip(1, 2, 5.0, 6) and not top.may_skip(1, 2, 8.0, 6)  # equal is not below
+    assert top.may_skip(1, 1, 7.0, None) and not top.may_skip(3, 3, 0.0, None)
 
 
 def test_top_n_empty(spark):
