@@ -121,9 +121,12 @@ def test_features_are_defined_for_any_text():
 
 
 def test_quoting_and_sober_use_weigh_less():
-    strong = lambda t: abuse.features(t, abuse.NOTHING)[abuse.RULE]
-    assert strong("Du bist ein Idiot, Meier.") > strong("Das Wort 'Idiot' wurde als Ziel markiert.") == 0
-    assert strong("I will break your jaw.") > strong("The thief was taken to hospital with a broken jaw.")
+    """They are features beside those of all sentences, and no word takes away what others count."""
+    plain = lambda t: abuse.features(t, abuse.NOTHING)[abuse.AIMED]
+    any_ = lambda t: abuse.features(t, abuse.NOTHING)[abuse.AIMED - abuse.VALUES]
+    assert plain("Du bist ein Idiot, Meier.") > plain("Das Wort 'Idiot' steht im Beispiel.") == 0 < any_("Das Wort 'Idiot' steht im Beispiel.")
+    assert plain("I will break your jaw.") > plain("The thief was taken to hospital with a broken jaw.")
+    assert any_("You idiot, the word is wrong.") == plain("You idiot.")
 
 
 def test_held_out_accuracy(spark, data):
@@ -138,6 +141,15 @@ def test_held_out_accuracy(spark, data):
     pos, neg = s[truth], s[~truth]
     auc = (pos[:, None] > neg[None]).mean() + (pos[:, None] == neg[None]).mean() / 2
     assert auc > 0.8  # a tenth of the judgements is wrong
+    found = s >= abuse.THRESHOLD
+    assert (found & truth).sum() >= 0.6 * found.sum() and (found & truth).sum() >= 0.5 * truth.sum()
+
+
+def test_judged_texts_are_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, "x", None) for i in range(50)], "doc_id long, abusive int, annotator string, judged_at timestamp_ntz")
+    monkeypatch.setattr(abuse, "MAX_BYTES", 1234)
+    assert len(abuse.judged(docs, labels)[0]) == 12
 
 
 def test_scores_and_rates(spark):
