@@ -11,7 +11,8 @@ import heapq
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Light keys share this many buckets for each task; a bucket is packed as one.
@@ -32,22 +33,26 @@ class LoadPlan:
     def bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(F.lit(17), key), F.lit(len(self.buckets))).cast("int")
 
-    def _tables(self) -> tuple[Column, Column]:
-        entries = [x for k, t in self.heavy.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in t]))]
-        heavy = F.create_map(*entries) if entries else F.lit(None).cast("map<string,array<int>>")
-        return F.array(*[F.lit(i) for i in self.buckets]), heavy
+    def _tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """The plan as two tables of at most ``tasks * BUCKETS_PER_TASK`` and ``tasks / HEAVY`` rows: task of a bucket, and tasks of a heavy key."""
+        light = spark.createDataFrame(pa.table({"_b": pa.array(range(len(self.buckets)), pa.int32()), "_light": pa.array(self.buckets, pa.int32())}))
+        heavy = spark.createDataFrame(pa.table({"_h": pa.array(list(self.heavy), pa.string()), "_shards": pa.array(list(self.heavy.values()), pa.list_(pa.int32()))}))
+        return F.broadcast(light), F.broadcast(heavy)
 
-    def task(self, key: Column, spread: Column) -> Column:
-        """The task of a row: that of its key's bucket, or for a heavy key that of its shard, chosen by ``spread``."""
-        light, heavy = self._tables()
-        at = heavy[key]
-        shard = F.get(at, F.pmod(F.xxhash64(F.lit(23), spread), F.size(at)).cast("int"))
-        return F.coalesce(shard, F.get(light, self.bucket(key)))
+    def _planned(self, rows: DataFrame, key: str) -> DataFrame:
+        light, heavy = self._tables(rows.sparkSession)
+        rows = rows.withColumn("_b", self.bucket(F.col(key)))
+        return rows.join(light, "_b", "left").join(heavy, F.col(key) == F.col("_h"), "left").drop("_b", "_h")
 
-    def all_tasks(self, key: Column) -> Column:
-        """Every task that holds rows of the key, for the side that is replicated."""
-        light, heavy = self._tables()
-        return F.coalesce(heavy[key], F.array(F.get(light, self.bucket(key))))
+    def place(self, rows: DataFrame, key: str, spread: Column) -> DataFrame:
+        """``rows`` with ``_task``: the task of its key's bucket, or for a heavy key that of its shard, chosen by ``spread``."""
+        shard = F.get("_shards", F.pmod(F.xxhash64(F.lit(23), spread), F.size("_shards")).cast("int"))
+        return self._planned(rows, key).withColumn("_task", F.coalesce(shard, "_light")).drop("_light", "_shards")
+
+    def replicate(self, rows: DataFrame, key: str) -> DataFrame:
+        """A row for every task that holds rows of its key, in ``_task``."""
+        tasks = F.array_distinct(F.coalesce("_shards", F.array("_light")))
+        return self._planned(rows, key).withColumn("_task", F.explode(tasks)).drop("_light", "_shards")
 
 
 def plan_loads(rows: DataFrame, key: str, tasks: int) -> LoadPlan:
@@ -101,11 +106,12 @@ def balanced_join(left: DataFrame, right: DataFrame, key: str, spread: str, task
     tasks = _tasks(left, tasks)
     k = F.col(key).cast("string")
     plan = plan_loads(left.select(k.alias("_k")), "_k", tasks)
-    at = F.coalesce(plan.task(F.col("_k"), F.col(spread)), F.pmod(F.xxhash64(spread), F.lit(tasks)).cast("int"))
-    sent = left.withColumn("_k", k).withColumn("_task", at)
+    sent = plan.place(left.withColumn("_k", k), "_k", F.col(spread))
+    # rows without a key meet nothing, so any task will do
+    sent = sent.withColumn("_task", F.when(F.col("_k").isNotNull(), F.col("_task")).otherwise(F.pmod(F.xxhash64(spread), F.lit(tasks)).cast("int")))
     clash = [c for c in right.columns if c != key and c in left.columns]
     copies = right.withColumnsRenamed({c: f"right_{c}" for c in clash}).withColumn("_k", k).where("_k is not null").drop(key)
-    copies = copies.withColumn("_task", F.explode(F.array_distinct(plan.all_tasks(F.col("_k")))))
+    copies = plan.replicate(copies, "_k")
     # both sides go to their tasks by number, and the join needs no other exchange
     return sent.repartitionById(tasks, "_task").hint("shuffle_merge").join(copies.repartitionById(tasks, "_task"), ["_task", "_k"], how).drop("_task", "_k")
 
@@ -120,14 +126,16 @@ def per_key_results(rows: DataFrame, key: Column, label: Column, record: Column,
     tasks = _tasks(rows, tasks)
     picked = rows.select(key.cast("string").alias("_k"), label.cast("string").alias("_l"), record.cast("string").alias("_r"))
     plan = plan_loads(picked.select("_k"), "_k", tasks)
-    held = picked.where("_k is not null").withColumn("_task", plan.task(F.col("_k"), F.coalesce("_r", F.lit(""))))
+    # rows without a record have nothing to be told apart by; they are counted by label before anything is sent
+    bare = picked.where("_k is not null and _r is null").groupBy("_k", "_l").agg(F.count("*").alias("n"))
+    held = plan.place(picked.where("_k is not null and _r is not null"), "_k", F.col("_r"))
     # by number: every task gets the keys and shards that were packed for it
     placed = held.repartitionById(tasks, "_task")
     # within its task each shard is reduced to its distinct records and labels before anything is sent on
     records = placed.groupBy("_task", "_k", "_r").agg(F.count("*").alias("n")).groupBy("_task", "_k").agg(F.sum("n").alias("n"), F.count("_r").alias("records"))
     labels = placed.where("_l is not null").select("_task", "_k", "_l").distinct()
     none = F.lit(0).cast("long")
-    both = records.select("_k", F.lit(None).cast("string").alias("_l"), "n", "records").union(labels.select("_k", "_l", none, none))
+    both = records.select("_k", F.lit(None).cast("string").alias("_l"), "n", "records").union(labels.select("_k", "_l", none, none)).union(bare.select("_k", "_l", "n", none))
     by_label = both.groupBy("_k", "_l").agg(F.sum("n").alias("n"), F.sum("records").alias("records"))
     merged = by_label.groupBy("_k").agg(F.sum("n").alias("n_rows"), F.count("_l").alias("n_labels"), F.sum("records").alias("n_records"))
     share = F.col("n_rows") / picked.agg(F.count("*").alias("c")).scalar()

@@ -2,7 +2,7 @@
 
 Long plans are cut by writing a table into the folder that the cluster shares
 (``spark.checkpoint.dir``), so a lost executor costs one stage and not the job.
-A folder of our own is made only where the session names none, as in tests.
+Only a local session that names none gets a folder of its own; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; in a session without one, a temporary folder of this process."""
+    """The session's shared folder. All of a local session runs on one machine, so it may go without; then it has a temporary folder of this process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster has to name a folder all its machines share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)

@@ -137,3 +137,22 @@ def test_written_tables_are_read_back_and_cleared(spark):
     got = storage.materialize(spark.range(5).withColumnRenamed("id", "x y"), "t")
     assert got.count() == 5 and got.columns == ["x y"]
     assert storage.clear(spark) == 1 and storage.clear(spark) == 0
+
+
+def test_silhouettes_in_several_blocks(spark, monkeypatch):
+    """Blocks of means give what one broadcast gives, and what pairs give."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 6))
+    rows = [(i, f"c{i % 11}", v.tolist(), 9) for i, v in enumerate(x)] + [(99, "alone", [1.0] * 6, 9), (100, None, [1.0] * 6, 9)]
+    df = spark.createDataFrame(rows, "id long, c string, v array<double>, n int")
+    one = {r.id: r.silhouette for r in similarity.silhouettes(df, "id", "c", "v", 6).collect()}
+    monkeypatch.setattr(similarity, "BROADCAST_ROWS", 4)
+    more = {r.id: r.silhouette for r in similarity.silhouettes(df, "id", "c", "v", 6).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d, c = 1 - u @ u.T, np.arange(60) % 11
+    far = 1 - u @ (np.ones(6) / 6**0.5)
+    for i in range(60):
+        a = d[i][(c == c[i]) & (np.arange(60) != i)].mean()
+        b = min([far[i]] + [d[i][c == k].mean() for k in range(11) if k != c[i]])
+        assert one[i] == pytest.approx((b - a) / max(a, b)) and more[i] == pytest.approx(one[i])
+    assert one[99] == more[99] == 0 and len(one) == len(more) == 61

@@ -53,3 +53,17 @@ def test_join_equals_plain_join(spark, rows, how):
     assert got.columns == ["k", "l", "r", "key", "right_l", "v"]
     want = left.join(right.withColumnRenamed("l", "right_l"), "k", how).select(*got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_hot_key_without_records_is_not_one_shard(spark):
+    """Half of all rows have one key and no record: they are counted before they are sent."""
+    rows = [("hot", "a", None, "x")] * 3000 + [("hot", None, None, "x")] * 500 + [("hot", "b", f"r{i}", "x") for i in range(300)] + [(f"k{i}", "a", f"r{i}", "x") for i in range(900)]
+    got = {tuple(r)[:4] for r in per_key_results(spark.createDataFrame(rows, SCHEMA), F.col("k"), F.col("l"), F.col("r"), tasks=4).collect()}
+    assert got == brute(rows)
+
+
+def test_plan_does_not_grow_the_expression(spark):
+    """The plan is joined as a table: the rows' plan is as long for a thousand tasks as for ten."""
+    rows = spark.createDataFrame([("hot", "a", "r", "x")] * 50 + [(f"k{i}", "a", "r", "x") for i in range(50)], SCHEMA)
+    short, long = (len(plan_loads(rows, "k", n).place(rows, "k", F.col("r"))._jdf.queryExecution().optimizedPlan().toString()) for n in (10, 1000))
+    assert long < 2 * short
