@@ -2,14 +2,13 @@
 
 Method: entropy balancing. Among all rates of use that give each source its target number of tokens and exceed nobody's cap,
 those nearest to using every text once (in relative entropy) are exponentially tilted in the text's length. The tilt of each source solves a
-convex dual, by Newton steps whose sums are aggregated over all texts. The rates are rounded into copies so that the tokens of
+convex dual, by Newton steps over the counts of all its texts by length, all sources side by side. The rates are rounded into copies so that the tokens of
 each source stay on target.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,75 +18,33 @@ from pyspark.sql import functions as F
 from tessera.llm import _ranking
 from tessera.storage import materialize
 
-#: Sources a mixture may name: their targets and tilts are held on the driver.
-MAX_SOURCES = 10_000
 #: Relative error of a source's tokens at which Newton's steps end, and steps at most.
 PRECISION, STEPS = 1e-9, 60
 
 
-@dataclass
-class Source:
-    share: float
-    cap: int
-    tokens: int = 0
-    texts: int = 0
-    goal: float = 0.0
-    tilt: float = 0.0
-    low: float = -math.inf
-    high: float = math.inf
-    done: bool = False
+def tilt(lengths: np.ndarray, counts: np.ndarray, cap: float, goal: float) -> float:
+    """The tilt at which copies at the rate ``min(cap, exp(tilt * length))`` have ``goal`` tokens together: the root of the dual's slope, by Newton's steps.
 
-
-def read_targets(targets: DataFrame) -> dict[str, Source]:
-    """Targets by source; of several rows of a source the shares add up and the greatest cap counts. Null or negative ones are left out."""
-    rows = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("s"), F.max("max_repeats").alias("r")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"a mixture names at most {MAX_SOURCES} sources")
-    return {r.source: Source(float(r.s), int(r.r)) for r in rows}
-
-
-def _tilts(sources: dict[str, Source], scale: float):
-    pairs = [x for k, s in sources.items() if s.goal > 0 for x in (F.lit(k), F.struct(F.lit(float(s.tilt)), F.lit(float(s.cap))))]
-    at = F.element_at(F.create_map(*pairs), F.col("source"))
-    return F.least(at["col2"], F.exp(F.least(F.lit(600.0), at["col1"] * F.col("n_tokens") / scale))), at["col2"]
-
-
-def solve(cells: DataFrame, sources: dict[str, Source], total: float | None) -> tuple[float, float] | None:
-    """Set goals and tilts of the sources; the size of the mixture in tokens and the length that tilts refer to, or None without texts.
-
-    ``cells`` is ``source, n_tokens, n``. Without ``total`` the mixture is the largest in which every source that has texts
-    reaches its share within its cap.
+    A step beyond what is known to hold the root is replaced by halving. ``inf`` where the goal is all that the cap allows.
     """
-    for r in cells.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("t"), F.sum("n").alias("n")).collect():
-        sources[r.source].tokens, sources[r.source].texts = int(r.t), int(r.n)
-    there = {k: s for k, s in sources.items() if s.tokens}
-    if not there:
-        return None
-    shares = sum(s.share for s in there.values())
-    size = total if total is not None else min(s.cap * s.tokens / (s.share / shares) for s in there.values())
-    for s in there.values():
-        s.goal = min(size * s.share / shares, float(s.cap * s.tokens))
-        if s.goal >= s.cap * s.tokens * (1 - 1e-12):
-            s.tilt, s.done = 1e6, True  # all texts as often as the cap allows
-    scale = sum(s.tokens for s in there.values()) / sum(s.texts for s in there.values())
+    if goal >= cap * float(counts @ lengths) * (1 - 1e-12):
+        return math.inf
+    at, low, high = 0.0, -math.inf, math.inf
     for _ in range(STEPS):
-        if all(s.done for s in there.values()):
+        rate = np.minimum(cap, np.exp(np.minimum(600.0, at * lengths)))
+        weight = counts * rate * lengths
+        g = float(weight.sum()) - goal
+        if abs(g) <= PRECISION * goal:
+            break
+        low, high = (max(low, at), high) if g < 0 else (low, min(high, at))
+        h = float((weight * lengths)[rate < cap].sum())
+        step = at - g / h if h > 0 else at + (1.0 if g < 0 else -1.0)
+        if not low < step < high:
+            step = (low + high) / 2 if math.isfinite(low + high) else (2 * at + 1 if g < 0 else 2 * at - 1)
+        if step == at:
             break
-        rate, cap = _tilts({k: s for k, s in there.items()}, scale)
-        x = F.col("n_tokens") / scale
-        sums = cells.where(F.col("source").isin([k for k, s in there.items() if not s.done])).withColumn("w", rate).withColumn("cap", cap)
-        for r in sums.groupBy("source").agg(F.sum(F.col("n") * F.col("w") * x).alias("g"), F.sum(F.when(F.col("w") < F.col("cap"), F.col("n") * F.col("w") * x * x).otherwise(0.0)).alias("h")).collect():
-            s = there[r.source]
-            g = r.g - s.goal / scale
-            if abs(g) <= PRECISION * s.goal / scale:
-                s.done = True
-                continue
-            s.low, s.high = (max(s.low, s.tilt), s.high) if g < 0 else (s.low, min(s.high, s.tilt))
-            step = s.tilt - g / r.h if r.h > 0 else s.tilt + (1.0 if g < 0 else -1.0)
-            if not s.low < step < s.high:  # outside what is known to hold the root: halve, or widen
-                step = (s.low + s.high) / 2 if math.isfinite(s.low + s.high) else (2 * s.tilt + 1 if g < 0 else 2 * s.tilt - 1)
-            s.done, s.tilt = step == s.tilt, step
-    return size, scale
+        at = step
+    return at
 
 
 def round_cells(lengths: np.ndarray, counts: np.ndarray, rates: np.ndarray, cap: int) -> np.ndarray:
@@ -105,6 +62,9 @@ def round_cells(lengths: np.ndarray, counts: np.ndarray, rates: np.ndarray, cap:
 class Mixture:
     """Copies of every text of a mixture, and the shares reached.
 
+    Without ``total`` the mixture is the largest in which every source that has texts reaches its share within its cap; any number of sources may be
+    named. Of several targets of a source the shares add up and the greatest cap counts; null or negative ones are left out.
+
     ``texts`` is ``id, source, n_tokens`` with each id once; ``targets`` ``source, target_share, max_repeats``. Texts of sources
     that aren't named, of none, or without tokens don't take part. A named source without texts reaches nothing, and its share
     is divided among the others in proportion. Empty tables give an empty mixture.
@@ -113,25 +73,30 @@ class Mixture:
     def __init__(self, texts: DataFrame, targets: DataFrame, total: float | None = None):
         spark = texts.sparkSession
         self.targets = targets
-        self.sources = read_targets(targets)
-        texts = texts.where("id is not null and n_tokens > 0").where(F.col("source").isin(list(self.sources)) if self.sources else F.lit(False))
+        named = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap"))
+        texts = texts.where("id is not null and source is not null and n_tokens > 0").join(named.select("source"), "source", "left_semi")
         self.texts = materialize(texts.select("id", "source", F.col("n_tokens").cast("long").alias("n_tokens")), "texts")
         cells = materialize(self.texts.groupBy("source", "n_tokens").agg(F.count("*").alias("n")), "cells")
-        solved = solve(cells, self.sources, total)
-        if not solved:
-            self.copies = self.texts.where(F.lit(False)).withColumn("copies", F.lit(1).cast("int"))
+        totals = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("tokens"), F.sum("n").alias("texts"))
+        there = materialize(named.join(totals, "source"), "sources")
+        # the largest mixture in which every source reaches its share within its cap, and the mean length, which tilts refer to
+        whole = there.agg(F.sum("share").alias("shares"), F.min(F.col("cap") * F.col("tokens") / F.col("share")).alias("least"), (F.sum("tokens") / F.sum("texts")).alias("scale")).first()
+        if whole.shares is None:
+            self.size, self.copies = 0.0, self.texts.where(F.lit(False)).withColumn("copies", F.lit(1).cast("int"))
             return
-        self.size, scale = solved
-        rate, _ = _tilts(self.sources, scale)
-        caps = {k: s.cap for k, s in self.sources.items()}
-
-        def rounded(t: pa.Table) -> pa.Table:
-            source = t.column("source")[0].as_py()
-            n, length, w = (t.column(c).to_numpy() for c in ("n", "n_tokens", "w"))
-            return pa.table({"source": t.column("source"), "n_tokens": t.column("n_tokens"), "n": t.column("n"), "given": pa.array(round_cells(length, n, w, caps[source]))})
-
-        # a source has a cell for each different length, however many texts it has
-        given = cells.withColumn("w", rate).groupBy("source").applyInArrow(rounded, "source string, n_tokens long, n long, given long").where("given > 0")
+        self.size, scale = float(total if total is not None else whole.least * whole.shares), float(whole.scale)
+        goal = F.least(self.size * F.col("share") / whole.shares, F.col("cap") * F.col("tokens").cast("double"))
+
+        def solved(t: pa.Table) -> pa.Table:
+            n, length = (t.column(c).to_numpy() for c in ("n", "n_tokens"))
+            cap, wanted = t.column("cap")[0].as_py(), t.column("goal")[0].as_py()
+            at = tilt(length / scale, n.astype("f8"), cap, wanted / scale)
+            rate = np.full(len(n), float(cap)) if at == math.inf else np.minimum(cap, np.exp(np.minimum(600.0, at * length / scale)))
+            return pa.table({"source": t.column("source"), "n_tokens": t.column("n_tokens"), "n": t.column("n"), "given": pa.array(round_cells(length, n, rate, cap))})
+
+        # constraints of different sources share nothing but the size, so each source's dual is solved by itself, all in one job; a source has a cell
+        # for each different length, however many texts it has
+        given = cells.join(there.select("source", "cap", goal.alias("goal")), "source").groupBy("source").applyInArrow(solved, "source string, n_tokens long, n long, given long").where("given > 0")
         buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
         ranked = _ranking.with_rank(self.texts, ["source", "n_tokens"], ["id"], buckets).join(given, ["source", "n_tokens"])
         copies = F.floor(F.col("given") / F.col("n")) + F.when(F.col("rank") < F.col("given") % F.col("n"), 1).otherwise(0)

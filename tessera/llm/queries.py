@@ -121,6 +121,16 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(_packed(spark, folder), 2048)
 
 
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of any packing: texts packed, of them divided ones of up to 2,048 tokens, texts with tokens lost or doubled, containers too full, and whether 0.99 of the space is used."""
+    counts = materialize(_tokens.token_counts(table(spark, folder, "documents")), "counts")
+    packed = materialize(packing.pack(counts, 2048), "packed")
+    of = packed.groupBy("id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("held")).join(counts, "id", "full")
+    over = packed.groupBy("container").agg(F.sum("n_tokens").alias("load")).where("load > 2048").agg(F.count("*"))
+    kept = of.agg(F.count("*").alias("n_texts"), F.count_if(F.expr("n_tokens <= 2048 and parts > 1")).alias("divided"), F.count_if(F.expr("not (held <=> n_tokens)")).alias("changed"))
+    return kept.select("*", over.scalar().alias("too_full"), (packing.fill_report(packed, 2048).select("fill").scalar() >= 0.99).alias("filled"))
+
+
 def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
     texts = _tokens.token_counts(table(spark, folder, "documents"), extra=["source"])
     return mixing.Mixture(texts, table(spark, folder, "source_targets"))
@@ -136,6 +146,18 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).report()
 
 
+def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of any mixture: sources that have texts and a target, copies beyond a cap, texts of no target, and whether every share is within half a percent of the whole."""
+    mixture = _mixture(spark, folder)
+    copies, told = materialize(mixture.copies, "copies"), materialize(mixture.report(), "report")
+    named = told.select("source", "max_repeats")
+    there = told.where("n_tokens > 0")
+    off = F.max(F.abs(F.col("share") - F.col("target_share") / there.agg(F.sum("target_share")).scalar()))
+    beyond = copies.join(named, "source").where("copies > max_repeats").agg(F.count("*"))
+    strange = copies.join(named, "source", "left_anti").agg(F.count("*"))
+    return there.agg(F.count("*").alias("n_sources"), (off <= 0.005).alias("on_target")).select("n_sources", beyond.scalar().alias("beyond_cap"), strange.scalar().alias("of_no_target"), "on_target")
+
+
 def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.scores(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
 
@@ -149,4 +171,4 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_report, p6_found, p6_assignment, p6_report, p6_kept, p8_containers, p8_fill, p9_mixture, p9_report, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_report, p6_found, p6_assignment, p6_report, p6_kept, p8_containers, p8_fill, p8_kept, p9_mixture, p9_report, p9_kept, p10_found, p10_scores, p10_rates)}

@@ -2,6 +2,8 @@
 
 _FOLD = "lower(trim({}, ' ' || chr(9) || chr(160)))"
 
+_WORDED = r"regexp_matches(text, '[^\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')"
+
 _P4_TERMS = f"""
 with rows_ as (
   select 'frame_label' as field_name, {_FOLD.format("frame_label")} as term, global_id from frameinstances
@@ -91,6 +93,12 @@ SQL: dict[str, str] = {
         select experiment_id, experiment_run_id from ranked where n <= 5""",
     "p4_terms": _P4_TERMS + " select field_name, term, occurrences, records, mark from marked",
     "p4_found": _P4_TERMS + " select field_name, term, mark from marked where mark is not null",
+    "p8_kept": rf"""
+        select count(*) as n_texts, cast(0 as bigint) as divided, cast(0 as bigint) as changed, cast(0 as bigint) as too_full, true as filled from documents
+        where doc_id is not null and {_WORDED}""",
+    "p9_kept": rf"""
+        select count(distinct source) as n_sources, cast(0 as bigint) as beyond_cap, cast(0 as bigint) as of_no_target, true as on_target
+        from documents where doc_id is not null and {_WORDED} and source in (select source from source_targets where target_share > 0 and max_repeats > 0)""",
     # how rows are assigned is open; what must hold of any assignment is not
     "p6_kept": f"""
         select count(*) as n_rows, count(distinct {_FOLD.format("global_sentence_id")}) as n_sentences, cast(0 as bigint) as divided_sentences, cast(0 as bigint) as divided_texts, true as on_target
