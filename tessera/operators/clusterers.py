@@ -6,6 +6,7 @@ for constrained clusterers: a labelled row keeps its label, and rows of differen
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,10 +24,11 @@ def register(name: str):
 
 
 def create(config: dict | str):
-    """A clusterer from ``{"type": name, ...options}``; options that are such configurations are created too."""
+    """A clusterer from ``{"type": name, ...options}`` or ``{"type": name, "options": {...}}``; options that are such configurations are created too."""
     if isinstance(config, str):
         config = {"type": config}
-    options = {k: v for k, v in config.items() if k != "type"}
+    options = {k: v for k, v in config.items() if k not in ("type", "options")} | (config.get("options") or {})
+    options |= options.pop("cwargs", {})
     for k, v in options.items():
         if isinstance(v, dict) and "type" in v:
             options[k] = create(v)
@@ -103,12 +105,71 @@ class Forward:
         return [str(s) for s in self.source]
 
 
+def local_clustering(edges: np.ndarray) -> float:
+    """Mean local clustering coefficient of a graph given by its yes/no matrix: of the pairs of a row's neighbours, how many are linked; 0 for rows with fewer than two."""
+    a = edges.astype(float)
+    degree = a.sum(1)
+    closed = ((a @ a) * a).sum(1)
+    return float(np.divide(closed, degree * (degree - 1), out=np.zeros(len(a)), where=degree > 1).mean()) if len(a) else 0.0
+
+
+def prune(w: np.ndarray, criterion: str) -> np.ndarray:
+    """The similarity matrix with the edges a criterion keeps, others 0.
+
+    ``minw_t``: of at least that weight. ``lmc<=t``: the strongest, added a twentieth of all at a time while the mean local clustering coefficient is at most t.
+    ``umap_k<k>``: to the k nearest, weighted by how much farther than the nearest they are, both directions joined; ``optkv`` and ``optkw`` in place of ``k``
+    keep a row's neighbours up to the widest gap in their distances or weights, and ``_sym:max``, ``min`` or ``mean`` join the
+    directions otherwise than by a + b - ab.
+    """
+    n = len(w)
+    if criterion.startswith("minw_"):
+        return np.where(w >= float(criterion[5:]), w, 0)
+    if criterion.startswith("lmc<="):
+        most = float(criterion[5:])
+        upper = np.triu_indices(n, 1)
+        order = np.argsort(-w[upper], kind="stable")
+        kept = np.zeros((n, n), dtype=bool)
+        for k in range(1, 21):
+            more = np.zeros((n, n), dtype=bool)
+            first = order[: len(order) * k // 20]
+            more[upper[0][first], upper[1][first]] = True
+            more |= more.T
+            if local_clustering(more) > most:
+                break
+            kept = more
+        return np.where(kept, np.maximum(w, 0), 0)
+    m = re.fullmatch(r"umap_(k|optkv|optkw)(\d+)(?:_sym:(max|min|mean))?", criterion)
+    if not m:
+        raise ValueError(f"no criterion reads {criterion!r}")
+    k = min(int(m[2]), n - 1)
+    if k < 1:
+        return np.zeros_like(w)
+    far = 1 - w
+    np.fill_diagonal(far, np.inf)
+    near = np.argsort(far, axis=1, kind="stable")[:, :k]
+    d = np.take_along_axis(far, near, 1)
+    d = d - d[:, :1]
+    low, high = np.full(n, 1e-6), np.full(n, 1e3)
+    for _ in range(40):  # the scale at which the weights of a row sum up to log2(k)
+        mid = (low + high) / 2
+        much = np.exp(-d / mid[:, None]).sum(1) > max(np.log2(k), 1e-9)
+        low, high = np.where(much, low, mid), np.where(much, mid, high)
+    weight = np.exp(-d / high[:, None])
+    if m[1] != "k" and k > 1:
+        gaps = np.diff(d, axis=1) if m[1] == "optkv" else -np.diff(weight, axis=1)
+        weight = np.where(np.arange(k) <= gaps.argmax(1)[:, None], weight, 0)
+    a = np.zeros((n, n))
+    np.put_along_axis(a, near, weight, 1)
+    return {None: a + a.T - a * a.T, "max": np.maximum(a, a.T), "min": np.minimum(a, a.T), "mean": (a + a.T) / 2}[m[3]]
+
+
 @register("cw")
 @dataclass
 class ChineseWhispers:
     """Label propagation on the similarity graph, labelled rows fixed.
 
-    Edges below ``min_weight`` are cut (an edge equal to it stays), or by ``knn`` only those to the k most similar rows of either end are kept. Rows are visited in an order
+    Edges below ``min_weight`` are cut (an edge equal to it stays), or by ``knn`` only those to the k most similar rows of either end are kept, or edges are
+    chosen by a ``criterion`` as :func:`prune` reads it. Rows are visited in an order
     drawn from the seed; each takes the label of greatest summed weight among its neighbours (``binarize``: of most neighbours), of equal
     ones its own if that is among them, else the smallest, until nothing changes or ``max_iter`` rounds are done.
     """
@@ -118,13 +179,22 @@ class ChineseWhispers:
     binarize: bool = True
     max_iter: int = 100
     random_state: int | None = None
+    criterion: str | None = None
+
+    def __post_init__(self):
+        if self.criterion is not None and self.criterion.startswith("minw_"):
+            self.min_weight, self.criterion = float(self.criterion[5:]), None
+        elif self.criterion is not None:
+            prune(np.zeros((0, 0)), self.criterion)
 
     def fit_predict(self, x, y=None, similarity: np.ndarray | None = None):
         n = len(x) if similarity is None else len(similarity)
         y = y or [None] * n
         w = cosine_matrix(x) if similarity is None else np.array(similarity, dtype=float)
         np.fill_diagonal(w, 0)
-        if self.knn is not None and n > 1:
+        if self.criterion is not None:
+            w = prune(w, self.criterion)
+        elif self.knn is not None and n > 1:
             k = min(self.knn, n - 1)
             near = np.argsort(-w, axis=1, kind="stable")[:, :k]
             keep = np.zeros_like(w, dtype=bool)
@@ -272,30 +342,46 @@ class Agglomerative:
 @register("ha-constrained")
 @dataclass
 class ConstrainedAgglomerative:
-    """Complete linkage in which equal known labels are at distance 0, different ones beyond all others, the rest between 1 and 2 with a little noise."""
+    """Complete linkage in which equal known labels are at distance 0, different ones at 3, and all others, with a little noise, scaled to between 1 and 2.
+
+    Merged down to the known labels and ``n_extra_clusters`` more (to one at least), or while merges are below ``distance_threshold``, between 0 and 3. Rows that
+    all have a label keep it, and a row alone is cluster ``0``. Similarities below 0 count as 0.
+    """
 
     n_extra_clusters: int | None = None
     distance_threshold: float | None = None
     random_state: int | None = None
 
+    def __post_init__(self):
+        if self.distance_threshold is not None and not 0 < self.distance_threshold < 3:
+            raise ValueError("the distance threshold lies between 0 and 3")
+
     def fit_predict(self, x, y=None):
         n = len(x)
         y = y or [None] * n
-        rng = np.random.default_rng(self.random_state)
-        d = 1 + distances(np.asarray(x, dtype=float), "cosine").clip(0, 2) / 2
-        noise = rng.normal(0, 1e-4, d.shape)
-        d = (d + (noise + noise.T) / 2).clip(1, 2)
-        for i in range(n):
-            for j in range(n):
-                if y[i] is not None and y[j] is not None:
-                    d[i, j] = 0.0 if y[i] == y[j] else 3.0
+        if all(k is not None for k in y):
+            return list(y)
+        if n == 1:
+            return ["0"]
+        if (self.n_extra_clusters is None) == (self.distance_threshold is None):
+            raise ValueError("either a number of extra clusters or a distance threshold is needed")
+        d = 1 - cosine_matrix(np.asarray(x, dtype=float)).clip(0, 1)
+        noise = np.random.default_rng(self.random_state or 0).normal(0, 1e-4, d.shape)
+        d = d + np.triu(noise, 1) + np.triu(noise, 1).T
+        apart = d[~np.eye(n, dtype=bool)]
+        d = 1 + ((d - apart.min()) / max(apart.max() - apart.min(), 1e-12)).clip(0, 1)
+        _, code = np.unique([str(k) for k in y], return_inverse=True)
+        known = np.array([k is not None for k in y])
+        both, same = known[:, None] & known[None, :], code[:, None] == code[None, :]
+        d = np.where(both, np.where(same, 0.0, 3.0), d)
+        np.fill_diagonal(d, 0)
         steps = merges(d, "complete")
-        known = len({k for k in y if k is not None})
-        most = n - max(1, known + self.n_extra_clusters) if self.n_extra_clusters is not None else n - 1
-        limit = 1 + self.distance_threshold / 2 if self.distance_threshold is not None else 2.5
-        # merges of a label's own rows come first, those of different labels never
-        done = sum(h < 0.5 or (k < most and h < min(limit, 2.5)) for k, (_, _, h) in enumerate(steps))
-        labels = resolve_labels(cut(n, steps, done), y)
+        if self.n_extra_clusters is not None:
+            done = n - max(1, len({k for k in y if k is not None}) + self.n_extra_clusters)
+        else:
+            done = sum(h < self.distance_threshold for _, _, h in steps)
+        # rows of one label are at 0 and come together first
+        labels = resolve_labels(cut(n, steps, max(done, sum(h < 0.5 for _, _, h in steps))), y)
         assert respects(labels, y)
         return labels
 
@@ -306,7 +392,7 @@ class XMeans:
     """k-means that splits a cluster in two while that improves the Bayesian information criterion, up to ``max_clusters``."""
 
     initial: int = 2
-    max_clusters: int = 1_000
+    max_clusters: int = 10**10
     random_state: int | None = None
 
     def fit_predict(self, x, y=None):

@@ -22,9 +22,12 @@ def training_label(label: str, split: str, testsplits: list[str]):
     return F.when(~F.col(split).isin(*testsplits) & (F.col(label) != UNKNOWN), F.col(label))
 
 
-def local_labels(rows: DataFrame, config: dict) -> DataFrame:
+def local_labels(rows: DataFrame, config: dict, sources: dict[str, DataFrame] | None = None) -> DataFrame:
     """``instance_id, label`` from ``instance_id, lu_lemma, fixed, vector``: all lemmas in one job.
 
+    ``forward`` takes the labels of another clustering, one of ``sources`` (``instance_id, label``) by the name given as its ``source``; rows that has no label for are
+    clusters of their own.
+
     A lemma of up to ``TASK_ROWS`` rows is clustered in a task. A larger one is clustered over the table of its pairs by distributed label propagation,
     which the ``cw`` clusterers allow; ``ident`` and ``const`` need neither. Other clusterers hold a lemma in memory and refuse more rows.
     """
@@ -33,6 +36,12 @@ def local_labels(rows: DataFrame, config: dict) -> DataFrame:
         return rows.select("instance_id", F.coalesce("fixed", F.concat(F.lit("#"), F.col("instance_id").cast("string"))).alias("label"))
     if kind == "const":
         return rows.select("instance_id", F.coalesce("fixed", F.lit("0")).alias("label"))
+    if kind == "forward":
+        name = (config.get("options") or config).get("source")
+        if name not in (sources or {}):
+            raise ValueError(f"no clustering is given under {name!r}")
+        other = sources[name].select("instance_id", F.concat(F.lit("#"), F.col("label").cast("string")).alias("_l"))
+        return rows.select("instance_id").join(other, "instance_id", "left").select("instance_id", F.coalesce("_l", F.concat(F.lit("#"), F.col("instance_id").cast("string"))).alias("label"))
     sizes = rows.groupBy("lu_lemma").agg(F.count("*").alias("n"))
     large = sizes.where(F.col("n") > TASK_ROWS).select("lu_lemma")
     small = rows.join(sizes.where(F.col("n") <= TASK_ROWS).select("lu_lemma"), "lu_lemma")
@@ -51,6 +60,8 @@ def local_labels(rows: DataFrame, config: dict) -> DataFrame:
     rest = rows.join(large, "lu_lemma")
     # the graph, rounds and seed are those of the clusterer in a task
     cw = clusterers.create(config)
+    if cw.criterion is not None:
+        raise ValueError(f"a lemma has more than {TASK_ROWS} rows; {cw.criterion} needs all pairs of a lemma in memory")
     least = -1.1 if cw.knn is not None else float(cw.min_weight)
     edges = similarity.similar_pairs(rest, "lu_lemma", "instance_id", "vector", least, knn=cw.knn)
     edges = edges.where("cosine > 0" if cw.binarize or cw.knn is not None else "cosine <> 0")

@@ -205,3 +205,42 @@ def test_grid_runs_share_local_steps_and_are_scored(instances, monkeypatch):
     assert [got[experiments.run_identifier(c)].status for c in configs] == ["finished", "finished", "failed", "failed"]
     first = got[experiments.run_identifier(configs[0])]
     assert first.micro_f1__novelty_frame == 1 and first.bcubed_f1 == 1 and first.numclusters >= 4
+
+
+def test_configurations_with_options():
+    """Options may stand under a key of their own, and a criterion says which edges stay."""
+    cw = clusterers.create({"type": "cw", "options": {"criterion": "minw_0.7", "cwargs": {"max_iter": 7}, "random_state": 3}})
+    assert cw.min_weight == 0.7 and cw.criterion is None and cw.max_iter == 7
+    for bad in ("maxw_1", "umap_3", "umap_kx"):
+        with pytest.raises(ValueError):
+            clusterers.create({"type": "cw", "options": {"criterion": bad}})
+
+
+@pytest.mark.parametrize("criterion", ["minw_0.5", "lmc<=0.95", "umap_k4", "umap_optkv6_sym:max", "umap_optkw6_sym:mean"])
+def test_criteria_separate_two_groups(two, criterion):
+    x = two
+    labels = clusterers.create({"type": "cw", "options": {"criterion": criterion, "random_state": 1}}).fit_predict(x)
+    half = len(x) // 2
+    assert not set(labels[:half]) & set(labels[half:])
+
+
+def test_local_clustering_by_hand():
+    """A triangle with a tail: coefficients 1, 1, 1/3 and 0."""
+    a = np.zeros((4, 4), bool)
+    for i, j in ((0, 1), (1, 2), (0, 2), (2, 3)):
+        a[i, j] = a[j, i] = True
+    assert clusterers.local_clustering(a) == pytest.approx((1 + 1 + 1 / 3) / 4)
+    assert clusterers.prune(np.zeros((1, 1)), "umap_k3").shape == (1, 1)
+
+
+def test_constrained_threshold_is_on_the_scaled_distances():
+    """Unlabelled rows lie between 1 and 2, so a threshold of 1 joins only rows of one label and one of 2.5 all that labels allow."""
+    rng = np.random.default_rng(0)
+    x = np.abs(rng.normal(size=(12, 5)))
+    y = ["a", "a", "b", "b"] + [None] * 8
+    apart = clusterers.create({"type": "ha-constrained", "distance_threshold": 0.9}).fit_predict(x, y)
+    assert len(set(apart)) == 10 and apart[0] == apart[1] == "a" and apart[2] == apart[3] == "b"
+    assert set(clusterers.create({"type": "ha-constrained", "distance_threshold": 2.5}).fit_predict(x, y)) == {"a", "b"}
+    assert len(set(clusterers.create({"type": "ha-constrained", "n_extra_clusters": 2}).fit_predict(x, y))) == 4
+    with pytest.raises(ValueError):
+        clusterers.create({"type": "ha-constrained", "distance_threshold": 3.5})
