@@ -55,3 +55,9 @@ def text_array(json: Column | str) -> Column:
 def sentence_like(tokens: Column | str, pattern: str) -> Column:
     """Lower-case tokens joined by blanks, null tokens as ``*``, match a LIKE pattern."""
     return F.array_join(F.transform(tokens, lambda t: F.lower(t)), " ", "*").like(pattern)
+
+
+def appended(array: Column | str, value) -> Column:
+    """The array with one more element; a null array counts as an empty one."""
+    a = F.col(array) if isinstance(array, str) else array
+    return F.when(a.isNull(), F.array(F.lit(value))).otherwise(F.array_append(a, F.lit(value)))

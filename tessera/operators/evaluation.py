@@ -136,3 +136,18 @@ def label_set_sizes(rows: DataFrame, gold: str, predicted: str, known: DataFrame
     p = rows.select(F.col(predicted).cast("string").alias("label")).where("label is not null").distinct().withColumn("p", F.lit(True))
     every = g.join(p, "label", "full").join(k, "label", "full").na.fill(False, ["g", "p", "k"])
     return every.agg(*[F.count_if(F.expr(e)).alias(n) for n, e in (("n_gold", "g"), ("n_predicted", "p"), ("n_known", "k"), ("n_any", "g or p"), ("n_both", "g and p"), ("n_gold_only", "g and not p"), ("n_predicted_only", "p and not g"), ("n_gold_known", "g and k"), ("n_gold_new", "g and not k"), ("n_predicted_known", "p and k"))])
+
+
+#: Metrics of an evaluated clustering, by name.
+METRICS = ("micro_f1", "precision", "recall", "macro_f1", "purity", "inverse_purity", "purity_f1", "bcubed_precision", "bcubed_recall", "bcubed_f1", "silhouette")
+
+
+def metrics(rows: DataFrame, gold: str, predicted: str, known: DataFrame, silhouettes: DataFrame | None = None) -> DataFrame:
+    """One row with all of ``METRICS``: of known and new labels the micro F1 and the macro averages, of all labels purity and B-cubed scores, and the mean silhouette.
+
+    ``silhouettes`` has a column ``silhouette``; without it, and where there is nothing to divide by, a metric is null.
+    """
+    told = novelty_and_label_identification(rows, gold, predicted, known)
+    one = told.agg(F.try_divide(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("micro_f1"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("macro_f1"))
+    mean = F.lit(None).cast("double") if silhouettes is None else silhouettes.agg(F.avg("silhouette")).scalar()
+    return one.crossJoin(induction_scores(rows, gold, predicted).drop("fmi")).withColumn("silhouette", mean).select(*METRICS)

@@ -36,6 +36,26 @@ def group_fingerprints(rows: DataFrame, by: str, columns: list[str]) -> DataFram
     return s.select(by, "n", uuid_of(F.md5(F.concat_ws(",", "n", "w0", "w1", "w2", "w3"))).alias("fingerprint"))
 
 
+def vector_text(embedding: Column | str) -> Column:
+    """A vector as text, its entries in millionths, so that other engines read it alike."""
+    return F.array_join(F.transform(embedding, lambda x: F.floor(x.cast("double") * 1e6 + 0.5).cast("string")), ",")
+
+
+def split_fingerprints(split_instances: DataFrame, instances: DataFrame, datasetsplits: DataFrame) -> DataFrame:
+    """``datasetsplit, n, fingerprint``: of each split assignment which instance (by ``global_id``) is in which split."""
+    names = datasetsplits.select(F.col("id").alias("datasetsplit_id"), F.col("name").alias("datasetsplit"))
+    rows = split_instances.join(instances.select(F.col("id").alias("instance_id"), "global_id"), "instance_id").join(names, "datasetsplit_id")
+    return group_fingerprints(rows, "datasetsplit", ["global_id", "split"])
+
+
+def vector_fingerprints(vectors: DataFrame, split_instances: DataFrame, instances: DataFrame, datasetsplits: DataFrame) -> DataFrame:
+    """The same of the vectors of each split assignment's instances; ``vectors`` is ``key, embedding``."""
+    names = datasetsplits.select(F.col("id").alias("datasetsplit_id"), F.col("name").alias("datasetsplit"))
+    texts = vectors.select(F.col("key").alias("instance_id"), vector_text("embedding").alias("embedding"))
+    rows = split_instances.join(texts, "instance_id").join(instances.select(F.col("id").alias("instance_id"), "global_id"), "instance_id").join(names, "datasetsplit_id")
+    return group_fingerprints(rows, "datasetsplit", ["global_id", "embedding"])
+
+
 def config_hash(config: dict) -> str:
     """md5 of a configuration written canonically: sorted keys, no blanks."""
     return hashlib.md5(json.dumps(config, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

@@ -54,3 +54,14 @@ def latest_successful(runs: DataFrame, key: str, finish: str, success: str) -> D
     kept = [c for c in runs.columns if c not in (key, finish)]
     best = rows.groupBy(key).agg(F.max(F.struct(finish, *kept)).alias("_r"))
     return best.select(key, "_r.*").select(*runs.columns)
+
+
+def best_settings(runs: DataFrame, experiment: str, setting: str, metric: str) -> DataFrame:
+    """``experiment, setting, n, mean, rank``: of every experiment the settings whose mean over their runs (over seeds, above all) is the greatest.
+
+    Runs without a score count for nothing; equally good settings are all given.
+    """
+    value = F.nanvl(F.col(metric).cast("double"), F.lit(None).cast("double"))
+    means = runs.where(F.col(experiment).isNotNull()).groupBy(experiment, setting).agg(F.count(value).alias("n"), F.avg(value).alias("mean")).where("n > 0")
+    ranked = _ranked(means.withColumn("_v", F.round("mean", 9)), experiment, "rank", descending=True)
+    return ranked.where("rank = 1").select(experiment, setting, "n", "mean", "rank")

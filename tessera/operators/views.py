@@ -9,7 +9,7 @@ Nulls in a join key match nothing; an empty table gives an empty view.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import any_of, differs_from_any, minus, same_set, sentence_like
@@ -30,7 +30,7 @@ def in_splits(split_instances: DataFrame, instances: DataFrame, datasetsplit_id:
 
 
 def labels_of_dataset(instances: DataFrame, dataset_id: int) -> DataFrame:
-    """``label, numinstances, first_instance, last_instance`` of a dataset; instances without a label are one row. The members are :func:`members`."""
+    """``label, numinstances, first_instance, last_instance`` of a dataset; instances without a label are one row. Their members are :func:`members_of_dataset`."""
     rows = instances.where(F.col("dataset_id") == dataset_id)
     return rows.groupBy(F.col("frame_label").alias("label")).agg(F.count("*").alias("numinstances"), F.min("id").alias("first_instance"), F.max("id").alias("last_instance"))
 
@@ -41,18 +41,24 @@ def labels_of_splits(split_instances: DataFrame, instances: DataFrame, datasetsp
     return rows.groupBy(F.col("frame_label").alias("label")).agg(F.count("frame_label").alias("support"), F.min("instance_id").alias("first_instance"), F.max("instance_id").alias("last_instance"))
 
 
-def members(rows: DataFrame, group: str, member: str) -> DataFrame:
-    """Group and member as rows, instead of one array for each group however large."""
-    return rows.select(group, member)
+def members_of_dataset(instances: DataFrame, dataset_id: int) -> DataFrame:
+    """``label, instance_id``: whose instances :func:`labels_of_dataset` counts, as rows and not as one array for each label however large."""
+    return instances.where(F.col("dataset_id") == dataset_id).select(F.col("frame_label").alias("label"), F.col("id").alias("instance_id"))
 
 
-def train_splits(splits: Column, testsplits: Column) -> Column:
-    return minus(splits, testsplits)
+def members_of_splits(split_instances: DataFrame, instances: DataFrame, datasetsplit_id: int, splits: list[str]) -> DataFrame:
+    """``label, instance_id`` of :func:`labels_of_splits`."""
+    return in_splits(split_instances, instances, datasetsplit_id, splits).select(F.col("frame_label").alias("label"), "instance_id")
+
+
+def members_of_lemmas(rows: DataFrame, mincount: int) -> DataFrame:
+    """``lu_lemma, instance_id`` of :func:`lemma_groups`: rows of lemmas that have at least ``mincount``."""
+    return rows.join(lemma_groups(rows, mincount).select("lu_lemma"), "lu_lemma").select("lu_lemma", "instance_id")
 
 
 def known_labels(clusterings: DataFrame, clustering_id: int, split_instances: DataFrame, instances: DataFrame) -> DataFrame:
     """Labels of the training splits of a clustering: its splits without its test splits; none where nothing remains."""
-    chosen = clusterings.where(F.col("id") == clustering_id).select("datasetsplit_id", F.explode(train_splits(F.col("splits"), F.col("testsplits"))).alias("split"))
+    chosen = clusterings.where(F.col("id") == clustering_id).select("datasetsplit_id", F.explode(minus(F.col("splits"), F.col("testsplits"))).alias("split"))
     rows = split_instances.join(F.broadcast(chosen), ["datasetsplit_id", "split"]).join(instances.withColumnRenamed("id", "instance_id"), "instance_id")
     return rows.groupBy(F.col("frame_label").alias("label")).agg(F.count("frame_label").alias("support"))
 
@@ -94,6 +100,24 @@ def cluster_sizes_by_transitive_label(assignments: DataFrame, clusters: DataFram
     return sizes.groupBy("clusteringid", "label_transitive").agg(F.count("*").alias("num_unique_clusters"), F.sum("numel_instances").alias("numel_instances"), F.sum("numel_localclusters").alias("numel_localclusters"))
 
 
+def cluster_members(assignments: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``clusteringid, clusterid, label_transitive, local_cluster_id, instance_id``, each once: whose members :func:`cluster_sizes` counts."""
+    rows = assignments.join(clusters.select(F.col("id").alias("clusterid"), "clusteringid", F.col("transitive_label").alias("label_transitive")), "clusterid")
+    return rows.select("clusteringid", "clusterid", "label_transitive", "local_cluster_id", F.col("instanceid").alias("instance_id")).distinct()
+
+
+def clusters_with_vectors(clusters: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Clusters with their ``embedding`` and ``numaveraged``, null where they have none; ``vectors`` is ``clusterid, embedding, numaveraged``."""
+    return clusters.join(vectors.withColumnRenamed("clusterid", "id"), "id", "left")
+
+
+def assigned_or_not(instances: DataFrame, assignments: DataFrame, clusters: DataFrame, clustering_id: int) -> DataFrame:
+    """Every instance with its cluster in one clustering, ``clusterid, label, transitive_label``, null where it is in none."""
+    own = clusters.where(F.col("clusteringid") == clustering_id).select(F.col("id").alias("clusterid"), "label", "transitive_label")
+    held = assignments.join(own, "clusterid").select(F.col("instanceid").alias("id"), "clusterid", "label", "transitive_label")
+    return instances.join(held, "id", "left")
+
+
 def scored_clusterings(clusterings: DataFrame, datasetsplits: DataFrame) -> DataFrame:
     """Every clustering with its score and, where there is one, the local clustering it came from.
 
@@ -166,3 +190,26 @@ def delete_clustering(clustering_id: int, clusterings: DataFrame, clusters: Data
     kept = assignments.join(gone, "clusterid", "left_anti")
     other = ~F.col("clusteringid").eqNullSafe(clustering_id)
     return clusterings.where(F.col("id") == clustering_id), clusterings.where(~F.col("id").eqNullSafe(clustering_id)), clusters.where(other), kept
+
+
+def delete_all_clusterings(clusterings: DataFrame, clusters: DataFrame, assignments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(deleted clusterings, remaining clusterings, clusters, assignments): what belongs to no clustering of the table is left."""
+    gone = clusterings.select(F.col("id").alias("clusteringid"))
+    kept = clusters.join(gone, "clusteringid", "left_anti").select(*clusters.columns)
+    dead = clusters.join(gone, "clusteringid", "left_semi").select(F.col("id").alias("clusterid"))
+    return clusterings, clusterings.where(F.lit(False)), kept, assignments.join(dead, "clusterid", "left_anti").select(*assignments.columns)
+
+
+def delete_experiments(runs: DataFrame, ids: list[int] | None = None, experiment: str = "experiment_id") -> DataFrame:
+    """Runs that are left after some experiments went, or all of them; runs of no experiment stay."""
+    mine = F.col(experiment).isNotNull() if ids is None else F.coalesce(F.col(experiment).isin(*ids), F.lit(False))
+    return runs.where(~mine)
+
+
+def copy_experiment(runs: DataFrame, source: int, target: int, run: str = "experiment_run_id", experiment: str = "experiment_id") -> DataFrame:
+    """The runs of an experiment as those of a new one: under ids above all others, in their order, with neither status nor results yet."""
+    last = runs.agg(F.max(run))
+    own = runs.where(F.col(experiment) == source).select(run, "setting").groupBy(run).agg(F.min("setting").alias("setting"))
+    # one experiment's runs are numbered; they come from one grid
+    number = F.row_number().over(Window.orderBy(run))
+    return own.select(F.lit(target).cast("long").alias(experiment), (last.scalar() + number).alias(run), F.col(run).alias("copied_from"), "setting")

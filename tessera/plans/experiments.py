@@ -36,7 +36,19 @@ def merge(base: dict, over: dict, whole: tuple[str, ...] = ("clusterer",)) -> di
 
 
 def with_defaults(config: dict) -> dict:
-    return merge(DEFAULTS, config)
+    """The configuration over the defaults; a ``dataset`` of the data is its split assignment."""
+    out = merge(DEFAULTS, config)
+    if out["data"].get("dataset") and not out["data"].get("datasetsplit"):
+        out["data"]["datasetsplit"] = out["data"]["dataset"]
+    return out
+
+
+def parse_identifier(text: str) -> dict[str, str | None]:
+    """Parts of ``[##]identifier[@version]``: whether it refers to this configuration's own local clustering, the identifier, and the version (an id or ``latest``)."""
+    m = re.fullmatch(r"(##)?([^@#]+)(?:@([^@]+))?", text.strip())
+    if not m:
+        raise ValueError(f"{text!r} is no identifier")
+    return {"own": bool(m[1]), "identifier": m[2], "version": m[3]}
 
 
 def set_path(config: dict, path: list[str], value) -> None:

@@ -140,6 +140,16 @@ _CENTROIDS = """
     centres as (select label, any_value(n) as n, list(x order by i) as c from means group by label),
     unit as (select label, n, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) as c from centres)"""
 
+
+def _fingerprints(name: str, rows: str, columns: list[str]) -> str:
+    """Fingerprints of the groups ``grp`` of a relation, over some columns."""
+    parts = ", ".join(f"coalesce(length(cast({c} as varchar)) || ':' || cast({c} as varchar), 'null')" for c in columns)
+    words = ", ".join(f"cast(sum(cast(cast('0x' || substr(d, {8 * i + 1}, 8) as ubigint) as hugeint)) as varchar) as w{i}" for i in range(4))
+    return f"""
+        select grp as {name}, n, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12)) as fingerprint
+        from (select grp, n, md5(concat_ws(',', n, w0, w1, w2, w3)) as h from (select grp, count(*) as n, {words} from (select grp, md5(concat_ws('|', {parts})) as d from ({rows})) group by grp))"""
+
+
 _IMPORTED = "(select min(id) as id, global_id from frameinstances where global_id is not null group by global_id)"
 _SALSA = f"select * replace ({_CUT.format('split')} as split) from salsa where not coalesce(ends_with(frame_id, '-salsa'), false)"
 
@@ -302,4 +312,62 @@ SQL: dict[str, str] = {
         select case when count(*) = 10 then round(min(d) + 1e-6, 6) end as threshold from top""",
     "vector_dimensions": "select len(embedding) as dims, count(*) as n from instance_vectors where masking = 'unmasked' group by 1",
     "events_by_day": "select cast(date_trunc('day', ts) as timestamp) as start, event_type, count(*) as count from events group by 1, 2",
+    "label_members_of_dataset": f"select frame_label as label, id as instance_id from {_I} where dataset_id = 1",
+    "label_members_of_splits": _base("select frame_label as label, instance_id from train"),
+    "lemma_group_members": _base("select lu_lemma, instance_id from train where lu_lemma in (select lu_lemma from train group by lu_lemma having count(*) >= 5)"),
+    "cluster_members": _base("""
+        select distinct 1 as clusteringid, clusterid, transitive_label as label_transitive, local_cluster_id, instanceid as instance_id from assignments_ a join clusters_ c on c.id = a.clusterid"""),
+    "clusters_with_vectors": f"""with {_VECTORS}, {_BASE}, e as (
+          select clusterid, i, avg(u.e[i]) as x, count(*) as n from assignments_ a join u on u.key = a.instanceid, generate_series(1, 64) as s(i) group by clusterid, i
+        ), w as (select clusterid, any_value(n) as n, list(x order by i) as v from e group by clusterid)
+        select c.id, c.numelems, w.n as numaveraged, round(v[1] / {_norm('v')}, 6) as first_entry from clusters_ c left join w on w.clusterid = c.id""",
+    "all_instances_with_assignment": _base(f"select f.id, f.global_id, c.id as clusterid, c.transitive_label from {_I} f left join assignments_ a on a.instanceid = f.id left join clusters_ c on c.id = a.clusterid"),
+    "delete_all_clusterings": f"select 2 as clusteringid, count(distinct frame_label) as n_clusters, count(*) as n_assignments from {_I} where frame_label is not null",
+    "delete_experiment": "select experiment_id, count(*) as n from experiment_scores where experiment_id is null or experiment_id not in (1003, 1055) group by 1",
+    "delete_all_experiments": "select experiment_run_id, reported_at from experiment_scores where experiment_id is null",
+    "copied_experiment": """
+        select cast(9000 as bigint) as experiment_id, (select max(experiment_run_id) from experiment_scores) + row_number() over (order by experiment_run_id) as experiment_run_id,
+          experiment_run_id as copied_from, min(setting) as setting from experiment_scores where experiment_id = 1003 group by experiment_run_id""",
+    "list_datasets": f"""
+        select d.name as dataset, d.language, n.name as datasetsplit, (select count(distinct instance_id) from {_S} s where s.datasetsplit_id = n.id) as n_instances
+        from datasetsplits n join datasets d on d.id = n.dataset_id""",
+    "list_experiments": """
+        select experiment_id, min(name) as name, count(distinct experiment_run_id) as n_runs, strftime(max(reported_at), '%Y-%m-%d %H:%M:%S') as last_report
+        from experiment_scores where experiment_id is not null group by 1""",
+    "evaluation_metrics": f"""with {_PREDICTED}, q as (
+          select case when gold in (select label from known) then gold else 'outlier' end as g, case when predicted in (select label from known) then predicted else 'outlier' end as h from p
+        ), l as (select label from known union all select 'outlier'),
+        counted as (select label, (select count(*) from q where g = label and h = label) as tp, (select count(*) from q where h = label) as np, (select count(*) from q where g = label) as ng from l),
+        r as (select case when np = 0 then 0.0 else tp / np end as pr, case when ng = 0 then 0.0 else tp / ng end as re, tp, ng from counted),
+        m as (select sum(tp) / sum(ng) as mi, avg(pr) as pr, avg(re) as re, avg(case when pr + re = 0 then 0.0 else 2 * pr * re / (pr + re) end) as f from r),
+        i as (with {_induction('p')})
+        select round(mi, 9) as micro_f1, round(pr, 9) as precision, round(re, 9) as recall, round(f, 9) as macro_f1, purity, inverse_purity, purity_f1, bcubed_precision, bcubed_recall, bcubed_f1 from m, i""",
+    "best_settings": """
+        with means as (
+          select experiment_id, try_cast(json_extract_string(setting, '$.alpha') as double) as alpha, count(s) as n, avg(s) as mean
+          from (select *, case when isnan(micro_f1__novelty_frame) then null else micro_f1__novelty_frame end as s from experiment_scores where experiment_id is not null) group by 1, 2 having count(s) > 0
+        ), ranked as (select *, rank() over (partition by experiment_id order by round(mean, 9) desc) as rank from means)
+        select experiment_id, alpha, n, round(mean, 9) as mean, rank from ranked where rank = 1""",
+    "merged_settings": """
+        with s as (select json_merge_patch(json_merge_patch(setting, '{"seed":0,"note":"again"}'), '{"dim":64}') as s from experiment_scores where setting is not null)
+        select try_cast(json_extract_string(s, '$.alpha') as double) as alpha, cast(json_extract_string(s, '$.seed') as int) as seed, json_extract_string(s, '$.note') as note,
+          cast(json_extract_string(s, '$.dim') as int) as dim, count(*) as n from s group by 1, 2, 3, 4""",
+    "split_elements": "select split, count(*) as n from (select unnest(list_append(coalesce(splits, []), 'all')) as split from experiment_scores) group by 1",
+    "experiment_ages": """
+        with s as (select experiment_id, min(reported_at) as a, max(reported_at) as b, datesub('second', min(reported_at), max(reported_at)) as seconds from experiment_scores where experiment_id is not null group by 1)
+        select experiment_id, strftime(a, '%Y-%m-%d %H:%M:%S') as began, seconds,
+          case when seconds >= 86400 then (seconds // 86400) || case when seconds // 86400 = 1 then ' day ' else ' days ' end else '' end
+            || lpad(cast(seconds % 86400 // 3600 as varchar), 2, '0') || ':' || lpad(cast(seconds % 3600 // 60 as varchar), 2, '0') || ':' || lpad(cast(seconds % 60 as varchar), 2, '0') as age
+        from s""",
+    "group_fingerprints": _fingerprints("dataset_id", f"select dataset_id as grp, global_id, lu_lemma, frame_label from {_I}", ["global_id", "lu_lemma", "frame_label"]),
+    "split_fingerprints": _fingerprints("datasetsplit", f"select d.name as grp, f.global_id, s.split from {_S} s join {_I} f on f.id = s.instance_id join datasetsplits d on d.id = s.datasetsplit_id", ["global_id", "split"]),
+    "vector_fingerprints": f"with {_VECTORS} " + _fingerprints("datasetsplit", f"""
+        select d.name as grp, f.global_id, array_to_string(list_transform(u.e, lambda x: cast(cast(floor(x * 1e6 + 0.5) as bigint) as varchar)), ',') as embedding
+        from u join {_S} s on s.instance_id = u.key join {_I} f on f.id = u.key join datasetsplits d on d.id = s.datasetsplit_id""", ["global_id", "embedding"]),
+    "alternative_splits": """
+        select 'salsa2.0-altsplit-' || n as datasetsplit, i,
+          case when data_source = 'SALSA2-ADD' then ['dev', 'test', 'train'][n + 1] when data_source = 'SALSA2-WEB' then ['test', 'dev', 'dev'][n + 1] else 'train' end as split
+        from salsa, range(3) as r(n)""",
+    "forwarded_labels": f"""
+        select '#' || coalesce(lu_lemma || '::' || frame_label, cast(id as varchar)) as label, count(*) as n from {_I} where lu_lemma is not null group by 1""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import arrays, vectors
+from tessera.functions import arrays, json, times, vectors
 from tessera.functions.text import UNKNOWN, fold, fold_term
 from tessera.operators import evaluation, fingerprints, leaderboard, similarity, skew, views
 from tessera.plans import experiments, pipeline, tables
@@ -183,6 +183,79 @@ def lockstep_unnest(spark: SparkSession, folder: str) -> DataFrame:
     return out.groupBy("id").agg(F.count("*").alias("n"), F.count("token").alias("n_tokens"), F.count("target").alias("n_targets"))
 
 
+@query
+def label_members_of_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    return views.members_of_dataset(tables.instances(spark, folder), 1)
+
+
+@query
+def label_members_of_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return views.members_of_splits(tables.splits(spark, folder), tables.instances(spark, folder), 1, ["train", "dev"])
+
+
+@query
+def lemma_group_members(spark: SparkSession, folder: str) -> DataFrame:
+    return views.members_of_lemmas(_in_train(spark, folder), 5)
+
+
+@query
+def cluster_members(spark: SparkSession, folder: str) -> DataFrame:
+    return views.cluster_members(tables.assignments(spark, folder), tables.clusters(spark, folder))
+
+
+@query
+def clusters_with_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters with how many vectors their mean is of, null where no member has one."""
+    rows = tables.assignments(spark, folder).join(tables.vectors(spark, folder, "unmasked").withColumnRenamed("key", "instanceid"), "instanceid")
+    means = similarity.centroids(rows, ["clusterid"], "embedding", tables.DIM)
+    got = views.clusters_with_vectors(tables.clusters(spark, folder), means)
+    return got.select("id", "numelems", "numaveraged", F.round(F.get("embedding", F.lit(0)), 6).alias("first_entry"))
+
+
+@query
+def all_instances_with_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    got = views.assigned_or_not(tables.instances(spark, folder), tables.assignments(spark, folder), tables.clusters(spark, folder), 1)
+    return got.select("id", "global_id", "clusterid", "transitive_label")
+
+
+@query
+def delete_all_clusterings(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters and assignments that are left when all clusterings of the table go and one that isn't in it stays: counts by clustering."""
+    clusterings, clusters, assignments = tables.two_clusterings(spark, folder)
+    gone, rest, clusters, kept = views.delete_all_clusterings(clusterings.where("id = 1"), clusters, assignments)
+    n = kept.join(clusters.select(F.col("id").alias("clusterid"), "clusteringid"), "clusterid").groupBy("clusteringid").agg(F.count("*").alias("n_assignments"))
+    return clusters.groupBy("clusteringid").agg(F.count("*").alias("n_clusters")).join(n, "clusteringid")
+
+
+@query
+def delete_experiment(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of every experiment that are left after two experiments went, those of none included."""
+    left = views.delete_experiments(table(spark, folder, "experiment_scores"), [1003, 1055])
+    return left.groupBy("experiment_id").agg(F.count("*").alias("n"))
+
+
+@query
+def delete_all_experiments(spark: SparkSession, folder: str) -> DataFrame:
+    return views.delete_experiments(table(spark, folder, "experiment_scores")).select("experiment_run_id", "reported_at")
+
+
+@query
+def copied_experiment(spark: SparkSession, folder: str) -> DataFrame:
+    return views.copy_experiment(table(spark, folder, "experiment_scores"), 1003, 9000)
+
+
+@query
+def list_datasets(spark: SparkSession, folder: str) -> DataFrame:
+    return corpora.list_datasets(table(spark, folder, "datasets"), table(spark, folder, "datasetsplits"), tables.splits(spark, folder))
+
+
+@query
+def list_experiments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every experiment with its name, its runs and the time of its last report."""
+    runs = table(spark, folder, "experiment_scores").where("experiment_id is not null")
+    return runs.groupBy("experiment_id").agg(F.min("name").alias("name"), F.count_distinct("experiment_run_id").alias("n_runs"), times.to_char(F.max("reported_at")).alias("last_report"))
+
+
 # -- evaluation: the lemma's most frequent training label as prediction
 
 
@@ -248,6 +321,12 @@ def label_set_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.label_set_sizes(_predicted(spark, folder), "gold", "predicted", _known(spark, folder))
 
 
+@query
+def evaluation_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """All metrics of an evaluated clustering but the silhouette, which needs vectors."""
+    return _rounded(evaluation.metrics(_predicted(spark, folder), "gold", "predicted", _known(spark, folder)).drop("silhouette"))
+
+
 # -- vectors
 
 
@@ -346,6 +425,47 @@ def scores_by_setting(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("alpha", "seed").agg(F.count("*").alias("n"), F.round(F.avg("s"), 9).alias("mean"))
 
 
+@query
+def best_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every experiment the weight with the best mean score over seeds."""
+    runs = table(spark, folder, "experiment_scores").withColumn("alpha", F.try_variant_get(F.parse_json("setting"), "$.alpha", "double"))
+    return _rounded(leaderboard.best_settings(runs, "experiment_id", "alpha", "micro_f1__novelty_frame"))
+
+
+@query
+def merged_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """Settings overlaid by others and with a key set: how often each result occurs."""
+    rows = table(spark, folder, "experiment_scores").where("setting is not null").select(json.set_key(json.merge("setting", F.lit('{"seed":0,"note":"again"}')), "dim", F.lit(64)).alias("s"))
+    v = F.parse_json("s")
+    got = rows.select(F.try_variant_get(v, "$.alpha", "double").alias("alpha"), F.try_variant_get(v, "$.seed", "int").alias("seed"), F.try_variant_get(v, "$.note", "string").alias("note"), F.try_variant_get(v, "$.dim", "int").alias("dim"))
+    return got.groupBy("alpha", "seed", "note", "dim").agg(F.count("*").alias("n"))
+
+
+@query
+def split_elements(spark: SparkSession, folder: str) -> DataFrame:
+    """Splits of all runs written as a JSON array with one appended, and unnested again: how often each occurs."""
+    rows = table(spark, folder, "experiment_scores").select(F.explode(json.texts(F.to_json(arrays.appended("splits", "all")))).alias("split"))
+    return rows.groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query
+def experiment_ages(spark: SparkSession, folder: str) -> DataFrame:
+    """How long every experiment went on, from its first to its last report."""
+    spans = table(spark, folder, "experiment_scores").where("experiment_id is not null").groupBy("experiment_id").agg(F.min("reported_at").alias("a"), F.max("reported_at").alias("b"))
+    spans = spans.withColumn("seconds", times.seconds_between("a", "b"))
+    return spans.select("experiment_id", times.to_char("a").alias("began"), "seconds", times.age(F.col("seconds")).alias("age"))
+
+
+@query
+def split_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.split_fingerprints(tables.splits(spark, folder), tables.instances(spark, folder), table(spark, folder, "datasetsplits"))
+
+
+@query
+def vector_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.vector_fingerprints(tables.vectors(spark, folder, "unmasked"), tables.splits(spark, folder), tables.instances(spark, folder), table(spark, folder, "datasetsplits"))
+
+
 @query
 def table_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.table_fingerprint(tables.splits(spark, folder), ["datasetsplit_id", "instance_id", "split"])
@@ -395,6 +515,22 @@ def alternative_split(spark: SparkSession, folder: str) -> DataFrame:
     return corpora.alternative_split(rows, wide, "0")
 
 
+@query
+def alternative_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """Three alternative split assignments at once."""
+    wide = spark.createDataFrame([("SALSA2-ADD", "dev", "test", "train"), ("SALSA2-WEB", "test", "dev", "dev")], "data_source string, `0` string, `1` string, `2` string")
+    return corpora.alternative_splits(table(spark, folder, "salsa"), wide, "salsa2.0")
+
+
+@query
+def forwarded_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """A local step that takes the labels of another clustering: sizes of its clusters."""
+    rows = tables.instances(spark, folder).where("lu_lemma is not null").select(F.col("id").alias("instance_id"), "lu_lemma", F.lit(None).cast("string").alias("fixed"))
+    other = tables.assignments(spark, folder).select(F.col("instanceid").alias("instance_id"), F.col("clusterid").alias("label"))
+    got = pipeline.local_labels(rows, {"type": "forward", "options": {"source": "by label"}}, {"by label": other})
+    return got.groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query
 def import_new_instances(spark: SparkSession, folder: str) -> DataFrame:
     """An import of all instances into a store that has dataset 1: rows with a new global_id, each once."""

@@ -98,6 +98,18 @@ def alternative_split(rows: DataFrame, wide: DataFrame, number: str, remove: boo
     return out.withColumn("split", F.coalesce("_new", F.lit("train"))).drop("_new")
 
 
+def alternative_splits(rows: DataFrame, wide: DataFrame, corpus: str) -> DataFrame:
+    """``datasetsplit, i, split``: every numbered column of the wide table as one split assignment, named ``<corpus>-altsplit-<number>``; all in one pass over the rows.
+
+    Sources a column names dev or test get that split, dev before test, all others train.
+    """
+    numbers = [c for c in wide.columns if c.isdigit()]
+    long = wide.unpivot(["data_source"], numbers, "number", "new").where(F.col("new").isin("dev", "test")).groupBy("data_source", "number").agg(F.min("new").alias("new"))
+    by_source = long.groupBy("data_source").agg(F.map_from_entries(F.collect_list(F.struct("number", "new"))).alias("_m"))
+    each = rows.select("i", "data_source").join(by_source, "data_source", "left").select("i", "_m", F.explode(F.array(*[F.lit(n) for n in numbers])).alias("number"))
+    return each.select(F.concat(F.lit(f"{corpus}-altsplit-"), "number").alias("datasetsplit"), "i", F.coalesce(F.col("_m")[F.col("number")], F.lit("train")).alias("split"))
+
+
 def read_split_list(spark: SparkSession, path: str) -> DataFrame:
     """``name, id`` from lines of ``name: id id id``."""
     parts = F.split("value", ":", 2)
@@ -167,3 +179,25 @@ def read(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
     if kind not in READERS:
         raise ValueError(f"no reader is named {kind!r}; there are {', '.join(READERS)}")
     return READERS[kind](spark, path, **options)
+
+
+def read_parts(spark: SparkSession, kind: str, paths: dict[str, str], **options) -> DataFrame:
+    """Several files of one kind as one table, each under its split's name; columns that some lack are null there."""
+    out = None
+    for split, path in paths.items():
+        part = read(spark, kind, path, **options).withColumn("split", F.lit(split))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def dataset_names(corpora: dict[str, str], alternatives: dict[str, int]) -> dict[str, str]:
+    """Names of all split assignments with their language: the default of each corpus, and its numbered alternatives."""
+    names = {f"{corpus}-default": language for corpus, language in corpora.items()}
+    return names | {f"{corpus}-altsplit-{n}": corpora[corpus] for corpus, many in alternatives.items() for n in range(many)}
+
+
+def list_datasets(datasets: DataFrame, datasetsplits: DataFrame, split_instances: DataFrame) -> DataFrame:
+    """``dataset, language, datasetsplit, n_instances`` of every split assignment, also of those without instances."""
+    n = split_instances.groupBy(F.col("datasetsplit_id").alias("id")).agg(F.count_distinct("instance_id").alias("n"))
+    named = datasets.select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset"), "language")
+    return datasetsplits.join(named, "dataset_id").join(n, "id", "left").select("dataset", "language", F.col("name").alias("datasetsplit"), F.coalesce("n", F.lit(0)).alias("n_instances"))

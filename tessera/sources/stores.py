@@ -90,3 +90,28 @@ def open_store(spark: SparkSession, url: str, dim: int | None = None) -> DataFra
 def count_and_dims(store: DataFrame) -> DataFrame:
     """``dims, n``: how many vectors of each length; null vectors have null dims."""
     return store.groupBy(F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims")).agg(F.count("*").alias("n"))
+
+
+def append_new(rows: DataFrame, path: str, key: str) -> int:
+    """Write the rows whose key isn't in the store yet to it, each key once; how many. A store that isn't there is begun."""
+    from pyspark.errors import AnalysisException
+
+    spark = rows.sparkSession
+    try:
+        rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti").select(*rows.columns)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    from tessera.storage import materialize
+
+    held = materialize(rows.dropDuplicates([key]), "append")
+    n = held.count()
+    if n:
+        held.write.mode("append").parquet(path)
+    return n
+
+
+def append_log(spark: SparkSession, path: str, name: str, messages: list[str]) -> None:
+    """Messages of a run as rows of a log table, with their time and their place among those of the call; nothing written is changed."""
+    rows = spark.createDataFrame([(name, i, m) for i, m in enumerate(messages)], "name string, i int, message string")
+    rows.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
