@@ -25,7 +25,7 @@ def set_key(base: Column | str, key: str, value: Column) -> Column:
 
 def elements(array: Column | str) -> Column:
     """Elements of an array as JSON texts, to be exploded; null where it is no array."""
-    return F.transform(F.from_json(_col(array), "array<variant>"), F.to_json)
+    return F.transform(F.from_json(_col(array), "array<variant>"), lambda x: F.to_json(x))
 
 
 def texts(array: Column | str) -> Column:

@@ -370,4 +370,8 @@ SQL: dict[str, str] = {
         from salsa, range(3) as r(n)""",
     "forwarded_labels": f"""
         select '#' || coalesce(lu_lemma || '::' || frame_label, cast(id as varchar)) as label, count(*) as n from {_I} where lu_lemma is not null group by 1""",
+    "two_step_kept": f"""with {_VECTORS}, r as (
+          select f.id, f.frame_label, min(s.split) as split from u join m using (key) join {_I} f on f.id = u.key join {_S} s on s.instance_id = f.id where s.datasetsplit_id <= 3 group by 1, 2
+        )
+        select count(*) as n_rows, count(*) filter (split = 'train' and frame_label <> '<unk>') as n_labelled, cast(0 as bigint) as moved, cast(0 as bigint) as unassigned from r""",
 }

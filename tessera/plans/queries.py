@@ -379,15 +379,30 @@ def silhouettes(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("vec_id", "label", F.round("silhouette", 6).alias("silhouette"))
 
 
+def clustering_rows(spark: SparkSession, folder: str, alpha: float | str) -> DataFrame:
+    """Instances with both vectors, mixed with that weight, in the default splits of their datasets: what :func:`pipeline.two_step` takes."""
+    mixed = similarity.mixed_vectors(tables.vectors(spark, folder, "unmasked"), tables.vectors(spark, folder, "masked"), alpha)
+    split = tables.splits(spark, folder).where("datasetsplit_id <= 3").groupBy(F.col("instance_id").alias("key")).agg(F.min("split").alias("split"))
+    rows = tables.instances(spark, folder).select(F.col("id").alias("key"), "lu_lemma", F.coalesce("frame_label", F.lit(UNKNOWN)).alias("label"))
+    return mixed.join(split, "key").join(rows, "key").select(F.col("key").alias("instance_id"), "lu_lemma", "split", "label", "vector")
+
+
 @query
 def two_step_clustering(spark: SparkSession, folder: str, config: dict | None = None) -> DataFrame:
     """The two-step clustering of all instances with both vectors, in the default splits of their datasets."""
     config = experiments.with_defaults(config or {"data": {"testsplits": ["dev", "test"]}, "local": {"clusterer": {"type": "cw", "min_weight": 0.5, "random_state": 1}}})
-    mixed = similarity.mixed_vectors(tables.vectors(spark, folder, "unmasked"), tables.vectors(spark, folder, "masked"), config["local"]["alpha"])
-    split = table(spark, folder, "split_instances").where("datasetsplit_id <= 3").groupBy(F.col("instance_id").alias("key")).agg(F.min(fold("split")).alias("split"))
-    rows = tables.instances(spark, folder).select(F.col("id").alias("key"), fold("lu_lemma").alias("lu_lemma"), F.coalesce("frame_label", F.lit(UNKNOWN)).alias("label"))
-    rows = mixed.join(split, "key").join(rows, "key").select(F.col("key").alias("instance_id"), "lu_lemma", "split", "label", "vector")
-    return pipeline.two_step(rows, config, config["data"]["testsplits"])
+    return pipeline.two_step(clustering_rows(spark, folder, config["local"]["alpha"]), config, config["data"]["testsplits"])
+
+
+@query
+def two_step_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of any two-step clustering: rows, training rows with a label, those of them whose cluster is called otherwise, and test rows in no cluster."""
+    rows = two_step_clustering(spark, folder)
+    labelled = (F.col("split") == "train") & (F.col("label_true") != UNKNOWN)
+    return rows.agg(
+        F.count("*").alias("n_rows"), F.count_if(labelled).alias("n_labelled"), F.count_if(labelled & F.col("lu_lemma").isNotNull() & ~F.col("cluster_label").eqNullSafe(F.col("label_true"))).alias("moved"),
+        F.count_if((F.col("split") != "train") & F.col("cluster_label").isNull()).alias("unassigned"),
+    )
 
 
 # -- experiments

@@ -159,3 +159,51 @@ def test_command_line(spark, data, capsys):
     assert cli.main(["query", "status_counts", data]) == 0 and "finished" in capsys.readouterr().out
     assert cli.main(["results", data]) == 0 and "softmax" in capsys.readouterr().out
     assert cli.main(["grid", '{"hyperparameters": [{"key": ["local", "alpha"], "values": [1, 2]}]}']) == 0 and len(json.loads(capsys.readouterr().out)["runs"]) == 2
+
+
+def test_reports_of_the_command_line(spark, data, capsys, tmp_path):
+    from tessera import cli
+    from tessera.plans.queries import QUERIES
+
+    assert {q for reports in cli.REPORTS.values() for q in reports.values()} <= set(QUERIES)
+    assert cli.main(["data", "list", data]) == 0
+    assert "salsa2.0-default" in capsys.readouterr().out
+    assert cli.main(["delete", data, str(tmp_path / "left"), "--experiment", "1003"]) == 0
+    assert spark.read.parquet(str(tmp_path / "left")).where("experiment_id = 1003").count() == 0
+    assert cli.main(["inspect", '{"hyperparameters":[{"key":["local","alpha"],"values":[0.1,0.2]}]}', '{"hyperparameters":[{"key":["local","alpha"],"values":[0.2]}]}']) == 0
+    out = capsys.readouterr().out
+    assert '"extra": []' in out and out.count("@") == 1
+
+
+def test_appending_keeps_each_key_once(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "key long, v string")
+    assert stores.append_new(rows, path, "key") == 2 and stores.append_new(rows, path, "key") == 0
+    assert stores.append_new(spark.createDataFrame([(2, "x"), (3, "c")], "key long, v string"), path, "key") == 1
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    stores.append_log(spark, str(tmp_path / "log"), "run", ["one", "two"])
+    stores.append_log(spark, str(tmp_path / "log"), "run", ["three"])
+    assert sorted(r.message for r in spark.read.parquet(str(tmp_path / "log")).collect()) == ["one", "three", "two"]
+
+
+def test_parts_and_names_of_datasets(spark, tmp_path):
+    for name, text in (("train", "a: 1 2\n"), ("dev", "b: 3\n")):
+        (tmp_path / name).write_text(text)
+    got = corpora.read_parts(spark, "splits", {n: str(tmp_path / n) for n in ("train", "dev")})
+    assert sorted(map(tuple, got.collect())) == [("a", "1", "train"), ("a", "2", "train"), ("b", "3", "dev")]
+    names = corpora.dataset_names({"fn1.7": "eng", "salsa2.0": "deu"}, {"fn1.7": 150})
+    assert len(names) == 152 and names["fn1.7-altsplit-149"] == "eng" and names["salsa2.0-default"] == "deu"
+
+
+def test_identifiers_and_json(spark):
+    from tessera.functions import json, times
+    from tessera.plans import experiments
+
+    assert experiments.parse_identifier("##local@latest") == {"own": True, "identifier": "local", "version": "latest"}
+    assert experiments.parse_identifier("0a1b") == {"own": False, "identifier": "0a1b", "version": None}
+    with pytest.raises(ValueError):
+        experiments.parse_identifier("a@b@c")
+    df = spark.createDataFrame([('{"a":{"b":[1,2]},"c":1}', "[1,\"x\",{\"y\":2}]"), ("nope", "{}"), (None, None)], "j string, l string")
+    r = df.select(json.set_key("j", "c", F.lit("x")).alias("s"), json.elements("l").alias("e"), times.age(F.lit(90_061)).alias("age"), times.age(F.lit(59)).alias("short")).collect()
+    assert r[0].s == '{"a":{"b":[1,2]},"c":"x"}' and r[0].e == ["1", '"x"', '{"y":2}'] and r[1].s is None and r[2].s is None and r[2].e is None
+    assert r[0].age == "1 day 01:01:01" and r[0].short == "00:00:59"
