@@ -17,6 +17,8 @@ from tessera.functions.text import fold_term
 BURST = 512
 #: Routes for subtrees at most, and terms of the bounded sample they are planned from.
 MAX_ROUTES, ROUTE_SAMPLE = 4096, 20_000
+#: Terms a worker's tries take before their subtrees are sent on and it begins anew.
+HELD_TERMS = 500_000
 
 
 class BurstTrie:
@@ -107,34 +109,44 @@ def term_counts(rows: DataFrame, fields: list[str], record: str, parts: int | No
     schema = "field int, route int, terms array<string>, occurrences array<long>, records array<long>"
 
     def accumulate(batches):
-        tries = [BurstTrie() for _ in fields]
+        tries, taken = [BurstTrie() for _ in fields], 0
         for batch in batches:
+            if taken > HELD_TERMS:
+                yield from _subtrees(tries, routes, names)
+                tries, taken = [BurstTrie() for _ in fields], 0
             t = pa.table({"field": batch.column("field"), "term": batch.column("term"), "n": batch.column("n"), "r": batch.column("has").cast(pa.int64())})
             t = t.group_by(["field", "term"]).aggregate([("n", "sum"), ("r", "sum")])
+            taken += t.num_rows
             for field, term, n, r in zip(*(t.column(c).to_pylist() for c in ("field", "term", "n_sum", "r_sum"))):
                 tries[field].add(term, n, r)
         yield from _subtrees(tries, routes, names)
 
     def merge(batches):
-        tries: dict[tuple[int, int], BurstTrie] = {}
+        # subtrees come route by route, so one trie is held at a time
+        at, trie = None, BurstTrie()
         for batch in batches:
             for field, route, terms, occ, rec in zip(*(c.to_pylist() for c in batch.columns)):
-                trie = tries.setdefault((field, route), BurstTrie())
+                if (field, route) != at:
+                    if at is not None:
+                        yield _merged(at[0], trie)
+                    at, trie = (field, route), BurstTrie()
                 for term, o, r in zip(terms, occ, rec):
                     trie.add(term, o, r)
-        for (field, _), trie in tries.items():
-            got = list(trie.items())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([field] * len(got), pa.int32()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1][0] for g in got], pa.int64()), pa.array([g[1][1] for g in got], pa.int64())],
-                names=["field", "term", "occurrences", "records"],
-            )
+        if at is not None:
+            yield _merged(at[0], trie)
 
     trees = pairs.select("field", "term", "n", "has").mapInArrow(accumulate, schema)
-    merged = trees.repartition(parts, "field", "route").mapInArrow(merge, "field int, term string, occurrences long, records long")
+    merged = trees.repartition(parts, "field", "route").sortWithinPartitions("field", "route").mapInArrow(merge, "field int, term string, occurrences long, records long")
     name = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field") + 1)
     return merged.select(name.alias("field_name"), "term", "occurrences", "records")
 
 
+def _merged(field: int, trie: BurstTrie) -> pa.RecordBatch:
+    got = list(trie.items())
+    columns = [pa.array([field] * len(got), pa.int32()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1][0] for g in got], pa.int64()), pa.array([g[1][1] for g in got], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["field", "term", "occurrences", "records"])
+
+
 def _subtrees(tries: list[BurstTrie], routes: list[str], names: list[str]):
     """The tries cut along the routes, as one row of terms and counters for each."""
     import bisect

@@ -85,7 +85,9 @@ def test_top_n_empty(spark):
 TERMS = "frame_label string, lu_lemma string, global_id string, term string, field int"
 
 
-def test_terms_equal_brute_force(spark):
+@pytest.mark.parametrize("held", [500_000, 20])
+def test_terms_equal_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(term_frequency, "HELD_TERMS", held)
     rng = random.Random(2)
     words = ["sagen", " Sagen\t", "SAGEN ", "geben", "<unk>", "", "  ", None, "ä" * 3000] + [f"w{i}" for i in range(700)]
     rows = [(rng.choice(words), rng.choice(words), rng.choice([None] + [f"g{i}" for i in range(400)]), "t", 1) for _ in range(3000)]
