@@ -28,6 +28,8 @@ LIST_ROWS, GROUP_ROWS = 512, 32_768
 MAX_LISTS = 16_384
 PROBES, MARGIN = 12, 0.35
 BLOCKS, CONFIDENCE = (16, 32), 2.5
+#: Squared distance from which the first block is all dimensions: at so wide a limit hardly a candidate would be abandoned before.
+WIDE = 0.8
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -145,7 +147,8 @@ def close_pairs(q: np.ndarray, x: np.ndarray, q_unit: np.ndarray, x_unit: np.nda
     vectors in float64, for the cosine of what is left. The estimate from d of D dimensions has a relative
     error of about 1/sqrt(d); a candidate is dropped if its estimate exceeds limit * (1 + confidence/sqrt(d))^2.
     """
-    dim, first = q.shape[1], min(blocks[0], q.shape[1])
+    dim = q.shape[1]
+    first = dim if len(limit) and np.median(limit) > WIDE else min(blocks[0], dim)
     factor = lambda d: (1 + confidence / np.sqrt(d)) ** 2 * d / dim if d < dim else 1.0
     a, b = q[:, :first], x[:, :first]
     half = ((a * a).sum(1) - (limit * factor(first) + 1e-5).astype("f4")) / 2
@@ -154,7 +157,7 @@ def close_pairs(q: np.ndarray, x: np.ndarray, q_unit: np.ndarray, x_unit: np.nda
     i, j = np.nonzero(partial >= half[:, None])
     done = first
     dist = None
-    for upto in [*[d for d in blocks[1:] if d < dim], dim]:
+    for upto in [*[d for d in blocks[1:] if first < d < dim], dim]:
         if not len(i):
             break
         if upto == dim:
