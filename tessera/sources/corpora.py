@@ -171,7 +171,38 @@ def read_sentences_xml(spark: SparkSession, path: str, row_tag: str = "sentence"
     return layers.select("id", "text", "frame", "lu", F.explode("l.label").alias("t")).select("id", "text", F.col("t._start").alias("target_start"), F.col("t._end").alias("target_end"), "frame", "lu").dropDuplicates(["id", "frame", "lu", "target_start", "target_end"])
 
 
-READERS = {"tsv": read_tsv, "blocks": read_blocks, "conllu": read_conllu_verbs, "xml": read_sentences_xml, "clusterings": read_saved_clusterings, "labelmap": read_label_map, "splits": read_split_list}
+#: Layers that hold the parts of speech, and so the tokens, of a sentence.
+TOKEN_LAYERS = ("PENN", "BNC")
+
+
+def read_annotations_xml(spark: SparkSession, path: str, row_tag: str = "sentence", exclude: DataFrame | None = None) -> DataFrame:
+    """``id, annotation_id, text, tokens, lu_index, bios, frame, lu`` from corpus XML or from the exemplars of lexical units: a row for each annotated set with a target.
+
+    Tokens are the spans of the part-of-speech layer that has most of them; ``lu_index`` are those a target label touches, and ``bios`` marks every token
+    by the role it is in: ``B-`` at its first token, ``I-`` after it, ``O`` outside. Sets whose ``annotation_id`` is in ``exclude`` (those of evaluation splits, say)
+    are left out, as are sets that aren't annotated.
+    """
+    label = "array<struct<_name:string,_start:int,_end:int>>"
+    schema = f"_ID long, text string, annotationSet array<struct<_ID:long,_frameName:string,_luName:string,_status:string,layer:array<struct<_name:string,label:{label}>>>>"
+    raw = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+    none = F.array().cast(label)
+    of = lambda layers, *names: F.flatten(F.transform(F.filter(layers, lambda x: x["_name"].isin(*names)), lambda x: F.coalesce(x["label"], none)))
+    spans = lambda name: F.array_sort(F.array_distinct(F.transform(of(F.flatten("annotationSet.layer"), name), lambda x: F.named_struct(F.lit("a"), x["_start"], F.lit("b"), x["_end"]))))
+    most = spans(TOKEN_LAYERS[0])
+    for name in TOKEN_LAYERS[1:]:
+        most = F.when(F.coalesce(F.size(spans(name)), F.lit(0)) > F.coalesce(F.size(most), F.lit(0)), spans(name)).otherwise(most)
+    sets = raw.select(F.col("_ID").alias("id"), "text", F.filter(most, lambda s: s["a"].isNotNull()).alias("spans"), F.explode("annotationSet").alias("s"))
+    sets = sets.where("s._frameName is not null and coalesce(s._status, '') <> 'UNANN'").withColumns({"target": of(F.col("s.layer"), "Target"), "roles": F.filter(of(F.col("s.layer"), "FE"), lambda x: x["_start"].isNotNull())})
+    touches = lambda t, s: (t["_start"] <= s["b"]) & (t["_end"] >= s["a"])
+    at = F.filter(F.transform("spans", lambda s, i: F.when(F.exists("target", lambda t: touches(t, s)), i)), lambda i: i.isNotNull())
+    role = lambda s: F.get(F.filter("roles", lambda t: touches(t, s)), F.lit(0))
+    bios = F.transform("spans", lambda s: F.coalesce(F.concat(F.when(s["a"] <= role(s)["_start"], "B-").otherwise("I-"), role(s)["_name"]), F.lit("O")))
+    tokens = F.transform("spans", lambda s: F.substring(F.col("text"), s["a"] + 1, s["b"] - s["a"] + 1))
+    out = sets.where(F.size("target") > 0).select("id", F.col("s._ID").alias("annotation_id"), "text", tokens.alias("tokens"), at.alias("lu_index"), bios.alias("bios"), F.col("s._frameName").alias("frame"), F.col("s._luName").alias("lu"))
+    return out if exclude is None else out.join(exclude.select("annotation_id"), "annotation_id", "left_anti").select(*out.columns)
+
+
+READERS = {"tsv": read_tsv, "blocks": read_blocks, "conllu": read_conllu_verbs, "xml": read_sentences_xml, "annotations": read_annotations_xml, "clusterings": read_saved_clusterings, "labelmap": read_label_map, "splits": read_split_list}
 
 
 def read(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:

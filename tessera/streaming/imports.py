@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,7 +18,9 @@ def import_stream(spark: SparkSession, incoming: str, schema: str, stored: str,
     def add(batch: DataFrame, _: int) -> None:
         try:
             known = spark.read.schema(schema).parquet(stored)
-        except Exception:  # nothing is stored yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # any other failure must not pass for an empty store
+                raise
             known = batch.limit(0)
         new_rows(batch, known, identity, order).write.mode("append").parquet(stored)
 

@@ -207,3 +207,17 @@ def test_identifiers_and_json(spark):
     r = df.select(json.set_key("j", "c", F.lit("x")).alias("s"), json.elements("l").alias("e"), times.age(F.lit(90_061)).alias("age"), times.age(F.lit(59)).alias("short")).collect()
     assert r[0].s == '{"a":{"b":[1,2]},"c":"x"}' and r[0].e == ["1", '"x"', '{"y":2}'] and r[1].s is None and r[2].s is None and r[2].e is None
     assert r[0].age == "1 day 01:01:01" and r[0].short == "00:00:59"
+
+
+def test_annotations_have_tokens_targets_and_roles(spark, tmp_path):
+    layer = lambda name, *labels: f'<layer name="{name}">' + "".join(f'<label name="{n}" start="{a}" end="{b}"/>' for n, a, b in labels) + "</layer>"
+    pos = layer("PENN", ("pp", 0, 1), ("vv", 3, 7), ("dt", 9, 11), ("nn", 13, 17), ("in", 19, 20))
+    role = layer("FE", ("Agent", 0, 1), ("Theme", 9, 17)) + layer("Target", ("Target", 3, 7), ("Target", 19, 20))
+    sets = f'<annotationSet ID="1" status="UNANN">{pos}</annotationSet><annotationSet ID="7" frameName="Giving" luName="hand in.v" status="MANUAL">{role}</annotationSet>'
+    sets += '<annotationSet ID="8" frameName="Other" luName="x.v" status="MANUAL"><layer name="Target"/></annotationSet>'
+    path = write(tmp_path / "a.xml", f'<doc><sentence ID="5"><text>He hands the paper in .</text>{sets}</sentence></doc>'.replace("hands the paper", "hands the paper"))
+    got = corpora.read(spark, "annotations", path).collect()
+    assert len(got) == 1 and got[0].annotation_id == 7 and got[0].tokens == ["He", "hands", "the", "paper", "in"]
+    assert got[0].lu_index == [1, 4] and got[0].bios == ["B-Agent", "O", "B-Theme", "I-Theme", "O"] and got[0].lu == "hand in.v"
+    none = spark.createDataFrame([(7,)], "annotation_id long")
+    assert corpora.read(spark, "annotations", path, exclude=none).count() == 0
